@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,7 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,11 +66,12 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, th, text: th (a hash of the text) tells rows apart that share an id."""
+    """did, th, text: th (a hash of the text) tells rows apart that share an id. Operators whose
+    decision depends on id and text alone give rows that agree in both the same result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64(text).alias("th"),
+        F.hash(text).alias("th"),
         text.alias("text"),
     )
 

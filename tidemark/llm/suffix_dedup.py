@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm import superkmer as S
 from tidemark.llm.common import NULL_ID, keyed, mix, real_id, text_buffer
 
-WINDOW, MINIMISER = 50, 14
-BLOCK_BYTES = 2 << 20
+WINDOW, MINIMISER = 50, 12
+BLOCK_BYTES = 512 << 10
 _TOKEN = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -96,7 +96,7 @@ def maximal_repeats(data: np.ndarray, off: np.ndarray, k: int):
     begin = np.sort(at[which[np.repeat((low != high) | (low < 0), size)]])
     depth = int(np.diff(off).max())
     # suffixes of one k-byte window share a run of the array, so the array may be built in slices
-    per = max(1, (64 << 20) // max(1, depth))
+    per = max(1, (16 << 20) // max(1, depth))
     key = h[np.searchsorted(at, begin)]
     begin = begin[np.argsort(key, kind="stable")]
     key = np.sort(key)
@@ -173,7 +173,7 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
         row, lo, hi = S.row_ranges(S.covered(len(data), np.concatenate(los), np.concatenate(his)), off)
         return did[row], th[row], begin[row] + lo, begin[row] + hi
 
-    return S.removal_ranges(docs, block, bucket, BLOCK_BYTES)
+    return S.removal_ranges(docs, block, bucket, BLOCK_BYTES, level=6)
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMISER) -> DataFrame:

@@ -17,8 +17,8 @@ from tidemark.llm.common import input_bytes, mix, shuffle_partitions
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Bytes of packed strings that one bucket should hold, on average.
-BUCKET_BYTES = 24 << 20
+#: Bytes of packed strings that one bucket should hold, on average; it is settled in SUB parts.
+BUCKET_BYTES, SUB = 16 << 20, 16
 #: Shuffle partitions at most; beyond, a partition holds several buckets, one after another.
 MOST_PARTITIONS = 20_000
 
@@ -120,61 +120,70 @@ def sizes(df: DataFrame) -> tuple[int, int]:
 class Packer:
     """Collects super-k-mers and writes them out as one compressed blob for each bucket."""
 
-    LIMIT = 24 << 20
+    LIMIT = 16 << 20
 
-    def __init__(self, buckets: int, parts: int):
+    def __init__(self, buckets: int, parts: int, level: int = 3):
         self.buckets, self.parts, self.held, self.bytes, self.turn = buckets, parts, [], 0, 0
         self.ranges: list[tuple[np.ndarray, ...]] = []
-        self.zip = zstandard.ZstdCompressor(level=1)
+        self.zip = zstandard.ZstdCompressor(level=level)
 
     def add(self, least: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, count: np.ndarray, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> None:
         strings = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-        bucket = (mix(least.copy()) % np.uint64(self.buckets)).astype(np.int32)
-        self.held.append((bucket, did, th, start.astype(np.int32), count.astype(np.int16), (hi - lo).astype(np.int32), strings))
+        h = mix(least.copy())
+        place = (h % np.uint64(self.buckets)).astype(np.int64) * SUB + (h >> np.uint64(40)).astype(np.int64) % SUB
+        self.held.append((place, did, th, start.astype(np.int32), count.astype(np.int16), (hi - lo - count).astype(np.int32), strings))
         self.bytes += int((hi - lo).sum()) + 64 * len(lo)
 
     def add_ranges(self, *arrays: np.ndarray) -> None:
         if len(arrays[0]):
             self.ranges.append(arrays)
-            self.bytes += 24 * len(arrays[0])
+            self.bytes += 20 * len(arrays[0])
 
     def flush(self):
         """Rows (part, bucket, n, blob); bucket -1 carries finished ranges."""
         if self.ranges:
             did, th, lo, hi = (np.concatenate(x) for x in zip(*self.ranges, strict=True))
-            blob = b"".join((did.astype(np.int64).tobytes(), th.astype(np.int64).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes()))
+            blob = b"".join((did.astype(np.int64).tobytes(), th.astype(np.int32).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes()))
             self.turn += 1
             yield (int(did[0]) + 7919 * self.turn) % self.parts, -1, len(did), self.zip.compress(blob)
         if self.held:
             cols = [np.concatenate([x[i] for x in self.held]) for i in range(6)]
             strings = [s for x in self.held for s in x[6]]
+            self.held = []
             order = np.argsort(cols[0], kind="stable")
             cols = [c[order] for c in cols]
-            edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True])))
+            bucket_of = (cols[0] // SUB).astype(np.int32)
+            cols[0] = (cols[0] % SUB).astype(np.int8)
+            edge = np.flatnonzero(np.concatenate(([True], bucket_of[1:] != bucket_of[:-1], [True])))
             order = order.tolist()
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                blob = b"".join([*(c[a:b].tobytes() for c in cols[1:]), *(strings[i] for i in order[a:b])])
-                bucket = int(cols[0][a])
+                blob = b"".join([*(c[a:b].tobytes() for c in cols), *(strings[i] for i in order[a:b])])
+                bucket = int(bucket_of[a])
                 yield bucket % self.parts, bucket, b - a, self.zip.compress(blob)
         self.held, self.ranges, self.bytes = [], [], 0
 
 
-def unpack(n: int, blob: bytes) -> tuple[list[np.ndarray], bytes]:
+def unpack(n: int, blob: bytes):
+    """The parts of a bucket's blob: (part, columns, text), in order of part."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    out, at = [], 0
-    for kind in (np.int64, np.int64, np.int32, np.int16, np.int32):
-        size = n * np.dtype(kind).itemsize
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += size
-    return out, raw[at:]
+    cols, at = [], 0
+    for kind in (np.int8, np.int64, np.int32, np.int32, np.int16, np.int32):
+        cols.append(np.frombuffer(raw, kind, n, at).copy())
+        at += n * np.dtype(kind).itemsize
+    cols[5] = cols[5].astype(np.int64) + cols[4]  # the length came as what it has beyond the count
+    ends = at + np.concatenate(([0], np.cumsum(cols[5])))
+    edge = np.searchsorted(cols[0], np.arange(SUB + 1))
+    for sub, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        if a < b:
+            yield sub, [c[a:b] for c in cols[1:]], raw[ends[a] : ends[b]]
 
 
 def unpack_ranges(n: int, blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    return [np.frombuffer(raw, np.int64, n, 0), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n), np.frombuffer(raw, np.int32, n, 20 * n)]
+    return [np.frombuffer(raw, np.int64, n, 0), *(np.frombuffer(raw, np.int32, n, i * n) for i in (8, 12, 16))]
 
 
-def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int) -> DataFrame:
+def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, level: int = 3) -> DataFrame:
     """did, th, lo, hi: the token ranges to remove from each row of docs (see common.keyed).
 
     map_block(packer, did, th, data, off) adds the super-k-mers of some rows, and what it could
@@ -187,7 +196,7 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int) ->
     def scan(batches):
         import pyarrow as pa
 
-        packer = Packer(buckets, parts)
+        packer = Packer(buckets, parts, level)
 
         def rows():
             got = list(packer.flush())
@@ -207,36 +216,42 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int) ->
         import pyarrow as pa
 
         def out(did, th, lo, hi):
-            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["did", "th", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["did", "th", "lo", "hi"])
 
         def closed(held):
-            cols = [np.concatenate(c) for c in zip(*(h[0] for h in held), strict=True)]
-            return out(*bucket_rows(*cols, b"".join(h[1] for h in held)))
+            for sub in sorted(held):
+                some = held.pop(sub)
+                cols = [np.concatenate(c) for c in zip(*(h[0] for h in some), strict=True)]
+                yield out(*bucket_rows(*cols, b"".join(h[1] for h in some)))
 
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             for bucket, n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if bucket < 0:
                     yield out(*unpack_ranges(n, blob.as_py()))
                     continue
                 if bucket != now and held:
-                    yield closed(held)
-                    held = []
+                    yield from closed(held)
                 now = bucket
-                held.append(unpack(n, blob.as_py()))
-        if held:
-            yield closed(held)
+                for sub, cols, text in unpack(n, blob.as_py()):
+                    held.setdefault(sub, []).append((cols, text))
+        yield from closed(held)
 
     packed = docs.select("did", "th", "text").mapInArrow(scan, "part int, bucket int, n int, blob binary")
     dealt = packed.repartitionById(parts, packed["part"]).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, "did long, th long, lo int, hi int")
+    return dealt.mapInArrow(settle, "did long, th int, lo int, hi int")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """did, text, ranges: docs with the list of their (lo, hi), null where there is none."""
+    """did, text, ranges: docs with the list of their (lo, hi), null where there is none.
+
+    The ranges are written first, so that the packed strings' shuffle files can go before the
+    documents themselves are shuffled."""
     from pyspark.sql import functions as F
 
-    lists = ranges.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    from tidemark.llm.common import materialize
+
+    lists = materialize(ranges.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     return docs.join(lists, ["did", "th"], "left").select("did", "text", "ranges")
 
 
