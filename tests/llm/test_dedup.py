@@ -21,7 +21,7 @@ def corpus(seed: int) -> list[tuple]:
     for i in range(60):
         parts = [rnd.choice(base) if rnd.random() < 0.3 else " ".join(word() for _ in range(rnd.randint(1, 80))) for _ in range(rnd.randint(1, 4))]
         rows.append(rnd.choice((" ", "\n", "\t ")).join(parts))
-    rows += [None, "", " \n", "x", "y " * 50, "z" * 120, rows[0], rows[0], " ".join(base), "a\x00b" * 40, "a\x00b" * 30]
+    rows += [None, "", " \n", "x", "y " * 50, "z" * 120, rows[0], rows[0], " ".join(base), "a\x00b" * 40, "a\x00b" * 30, "ab " * 3000]
     out = [(i * 3 % 101, t, "x", 1, 2) for i, t in enumerate(rows)]
     return [*out, out[5], (None, rows[3], "x", 1, 2), (out[7][0], rows[9], "x", 1, 2)]
 
@@ -88,7 +88,7 @@ def test_long_row_in_pieces(spark, monkeypatch):
         def add(self, least, did, th, start, count, raw, lo, hi):
             got.extend((int(s), raw[a:b]) for s, a, b in zip(start, lo, hi, strict=True))
     caught = {}
-    monkeypatch.setattr(S, "removal_ranges", lambda docs, block, bucket, size: caught.update(block=block))
+    monkeypatch.setattr(S, "removal_ranges", lambda docs, block, bucket, size, **k: caught.update(block=block))
     M.removed_ranges(None)
     text = max((d[2] for d in docs), key=len).encode()
     caught["block"](Spy(4, 4), np.array([1]), np.array([2]), np.frombuffer(text, np.uint8), np.array([0, len(text)]))

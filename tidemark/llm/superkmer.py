@@ -19,6 +19,8 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of packed strings that one bucket should hold, on average; it is settled in SUB parts.
 BUCKET_BYTES, SUB = 16 << 20, 16
+#: Windows in one packed string at most.
+LONGEST = 64
 #: Shuffle partitions at most; beyond, a partition holds several buckets, one after another.
 MOST_PARTITIONS = 20_000
 
@@ -101,11 +103,17 @@ def group_heads(h: np.ndarray) -> np.ndarray:
 
 
 def cut(at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where super-k-mers begin in at, and how many windows each has."""
+    """Where super-k-mers begin in at, and how many windows each has. In text that repeats itself
+    one minimiser may hold for very long; such runs go in strings of LONGEST windows."""
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])))
     first = np.flatnonzero(new)
+    size = np.diff(np.concatenate((first, [len(at)])))
+    if len(size) and size.max() > LONGEST:
+        pieces = -(-size // LONGEST)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + nth * LONGEST
     return first, np.diff(np.concatenate((first, [len(at)])))
 
 
