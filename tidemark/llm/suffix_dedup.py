@@ -9,7 +9,9 @@ whose occurrences differ in the byte before them is a maximal repeat, with all i
 
 Only suffixes whose k-byte window occurs again enter a suffix array, so unique text costs no
 sorting of suffixes. Each task first settles what its own rows show: a window passes on only
-from the rows with its smallest id, so a hot passage reaches its bucket about once a block.
+from the rows with its smallest id, so a hot passage reaches its bucket about once a block, and
+only once from each row, so text that repeats itself sends one period. What a row repeats
+itself shares its fate: that is settled at the end, with the whole text at hand.
 
 Null text counts as empty. A null id is larger than any other and never the earlier one. Rows
 that share an id do not remove each other's text. Other columns are ignored."""
@@ -26,7 +28,7 @@ from tidemark.llm import superkmer as S
 from tidemark.llm.common import NULL_ID, keyed, mix, real_id, text_buffer
 
 WINDOW, MINIMISER = 50, 12
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 1 << 20
 _TOKEN = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -35,6 +37,15 @@ def _rank(did: np.ndarray) -> np.ndarray:
     return np.where(did == NULL_ID, np.iinfo(np.int64).max, did)
 
 
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Whether the k bytes at a are those at b; k is 8 or more."""
+    ok = np.ones(len(a), bool)
+    w = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    for j in [*range(0, k - 8, 8), k - 8]:
+        ok &= w[a + j] == w[b + j]
+    return ok
+
+
 def suffix_array(data: np.ndarray, off: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes that begin at the places at (each ends with its row), and how many
     bytes each shares with the one before it, both up to depth bytes."""
@@ -118,7 +129,8 @@ def maximal_repeats(data: np.ndarray, off: np.ndarray, k: int):
 
 
 def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """did, th, lo, hi: byte ranges to remove from rows of common.keyed; ranges may overlap."""
+    """did, th, lo, hi: from lo to hi (exclusive), each place in a row of common.keyed begins a
+    k-byte string that an earlier row has. Of what a row repeats, one occurrence is there at least."""
 
     def block(packer, did, th, data, off):
         # very long rows go in pieces that overlap by k - 1 bytes
@@ -137,20 +149,20 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
         emit = np.ones(len(at), bool)
         which = S.repeated(h)
         if len(which):
-            rank = _rank(did)[np.searchsorted(off, at[which], "right") - 1]
-            order = np.lexsort((rank, h[which]))
-            which, rank = which[order], rank[order]
-            head = S.group_heads(h[which])
-            a, b = at[which], at[which[head]]
-            same = rank > rank[head]
-            for j in [*range(0, k - 8, 8), k - 8]:
-                w = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-                same &= w[a + j] == w[b + j]
-            gone = which[same]
+            row = np.searchsorted(off, at[which], "right") - 1
+            order = np.lexsort((at[which], _rank(did)[row], h[which]))
+            which, row = which[order], row[order]
+            rank, head = _rank(did)[row], S.group_heads(h[which])
+            ok = _equal(data, at[which], at[which[head]], k)
+            gone = which[ok & (rank > rank[head])]
+            emit[gone] = False
+            inner = np.flatnonzero(ok[1:] & ok[:-1] & (head[1:] == head[:-1]) & (row[1:] == row[:-1])) + 1
+            emit[which[inner]] = False
             if len(gone):
-                row, lo, hi = S.row_ranges(S.covered(len(data), at[gone], at[gone] + k), off)
-                packer.add_ranges(did[row], th[row], lo + shift, hi + shift)
-                emit[gone] = False
+                mask = np.zeros(len(data), bool)
+                mask[at[gone]] = True
+                own, lo, hi = S.row_ranges(mask, off)
+                packer.add_ranges(did[own], th[own], lo + shift, hi + shift)
         at, least = at[emit], least[emit]
         head, count = S.cut(at, least)
         a = at[head]
@@ -166,7 +178,7 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
             who = rank[np.searchsorted(off, pos, "right") - 1]
             late = pos[who > who.min()]
             los.append(late)
-            his.append(late + shared)
+            his.append(late + shared - k + 1)
         if not los:
             none = np.zeros(0, np.int64)
             return none, none, none, none
@@ -176,6 +188,19 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     return S.removal_ranges(docs, block, bucket, BLOCK_BYTES, level=6)
 
 
+def _bytes_out(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the bytes to remove: the windows that begin in [lo, hi), and those equal to one."""
+    out = S.covered(len(own) - k + 1, lo, hi)
+    _, h, _ = S.windows(_TOKEN[own], np.array([0, len(own)]), k, None)
+    which = S.repeated(h)
+    if len(which):
+        which = which[np.lexsort((~out[which], h[which]))]  # those that go come first
+        head = S.group_heads(h[which])
+        out[which[out[which[head]] & _equal(own, which, which[head], k)]] = True
+    at = np.flatnonzero(out)
+    return S.covered(len(own), at, at + k)
+
+
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): one row for each row of df."""
     docs = keyed(df, id_col, text_col)
@@ -188,7 +213,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own = data[off[i] : off[i + 1]]
                 n, spans = len(own), 0
                 if r.is_valid:
-                    mask = S.covered(n, *(r.values.field(j).to_numpy() for j in (0, 1)))
+                    mask = _bytes_out(own, *(r.values.field(j).to_numpy() for j in (0, 1)), k)
                     spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     own = own[~mask]
                 kept = own.tobytes()
