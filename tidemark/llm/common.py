@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and the five control characters from tab to carriage return.
@@ -51,8 +52,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round tells the JVM what Python has dropped
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -147,18 +150,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows_e
     A key may hold any share of the rows: each is split into parts by a hash of the order
     columns, parts are counted, and a row's number is its place in its part plus the sizes of
     the parts before. df should be a written table, since it is read twice. Rows that agree in
-    keys and order get their numbers in any order. Nulls in keys count as one value."""
+    keys and order get their numbers in any order. Keys are not null."""
     spark = df.sparkSession
     parts = max(32, -(-df.count() // rows_each))
     split = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    sizes = split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
-    sizes = materialize(sizes, "sizes")
-    from pyspark.sql import Window
-
+    sizes = materialize(split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size")), "sizes")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     place = Window.partitionBy(*keys, "_part").orderBy(*order)
     rows = split.withColumn("_place", F.row_number().over(place) - 1)
-    on = [rows[k].eqNullSafe(base[k]) for k in [*keys, "_part"]]
-    out = rows.join(base, on, "left").select(*(rows[c] for c in df.columns), (F.col("_place") + F.col("_base")).cast("long").alias(name))
-    return out
+    return rows.join(base, [*keys, "_part"]).select(*df.columns, (F.col("_place") + F.col("_base")).cast("long").alias(name))

@@ -19,5 +19,29 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import simhash_groups
+
+    return simhash_groups(documents(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard
+
+    return shard(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_suffix_dedup, op7_simhash, op9_sharding, op10_packing)}
 SQL: dict[str, str] = {}
