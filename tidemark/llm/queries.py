@@ -43,5 +43,32 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_substring_dedup, op3_suffix_dedup, op7_simhash, op9_sharding, op10_packing)}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that selection keeps, with their scores."""
+    from tidemark.llm.quality import grades, train
+
+    docs = documents(spark, sf_dir)
+    return grades(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("p_clean >= 0.5")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pii_digest
+
+    return pii_digest(documents(spark, sf_dir))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.media import media_digest
+
+    return media_digest(documents(spark, sf_dir))
+
+
+_ALL = (op1_token_counts, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_pii, op6_decontamination, op7_simhash, op8_media, op9_sharding, op10_packing)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
