@@ -56,16 +56,24 @@ class WordTokens:
             table[b] = b if b in kept else next(extra)
         self.bytes = table
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of one pre-token: the same for words that differ in case or marks."""
+        if (ids := self.parts.get(part)) is None:
+            if len(self.parts) > self.LIMIT:
+                self.parts.clear()
+            found = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
+            ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in found])
+        return ids
 
     def ids(self, word: bytes) -> bytes:
         text = word.decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if "<|" in text or not self.plain(text):
-            found = self.whole.encode(word.decode(), add_special_tokens=False).ids
-        else:
-            found = [t.id for part in self.find(text.lower()) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))]
-        return np.array(found, np.uint32).tobytes()
+            return np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.part(p) for p in self.find(text.lower())])
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         known, out = self.known, []
