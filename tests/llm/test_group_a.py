@@ -139,7 +139,14 @@ def test_packing(docs, rows):
             assert o == at
             at += n
         assert at <= 4096
-    assert len(bins) <= max(-(-sum(r.length for r in got) // 4096), sum(r.length > 2048 for r in got)) + 1
+    left = []  # plain best fit, longest first
+    for n in sorted((r.length for r in got), reverse=True):
+        fits = [i for i, x in enumerate(left) if x >= n]
+        if fits:
+            left[min(fits, key=lambda i: left[i])] -= n
+        else:
+            left.append(4096 - n)
+    assert len(bins) <= len(left)
 
 
 def test_plan_keeps_every_capacity():
