@@ -26,6 +26,7 @@ from tidemark.llm.common import materialize, numbered, row_blocks, text_buffer,
 
 TOKENS, END = 4096, 1
 BLOCK_BYTES = 4 << 20
+WORDS_EACH = 1 << 19
 #: Pieces that the query allows in a sequence, and attention cost: neither binds below TOKENS.
 DOCUMENTS, ATTENTION = 4096, 4096 * 4096
 WEIGHTS = (1.0, 0.05, 0.05)
@@ -35,9 +36,10 @@ class WordTokens:
     """Token ids of words, for a tokenizer that drops white space and starts anew after it.
 
     Words of Latin letters, digits and marks are cut by the tokenizer's own pattern and given to
-    its model; others go through the whole tokenizer. Words are remembered, up to LIMIT of them."""
+    its model, many at a time; others go through the whole tokenizer. Words are remembered, up to
+    LIMIT of them and those of a block."""
 
-    LIMIT = 300_000
+    LIMIT, GROUP = 300_000, 10_000
     # fixed values: the tokenizer file's pattern
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -46,45 +48,68 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.find = regex.compile(self.PATTERN).findall
-        plain = regex.compile("[!-~¡-ɏ]+")
-        self.plain = plain.fullmatch
+        self.find = regex.compile(rf"\n|{self.PATTERN}").findall
+        self.plain = regex.compile("[!-~¡-ɏ]+").fullmatch
+        # lines with other characters, or with what could begin a special token
+        self.odd = regex.compile(r"(?m)^[^\n]*(?:[^\n!-~¡-ɏ]|<\|)[^\n]*$").findall
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         table, extra = {}, itertools.count(256)
         for b in range(256):
             table[b] = b if b in kept else next(extra)
         self.bytes = table
+        self.line, self.model = chr(table[10]), self.whole.model
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def part(self, part: str) -> bytes:
-        """Ids of one pre-token: the same for words that differ in case or marks."""
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) > self.LIMIT:
-                self.parts.clear()
-            found = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
-            ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in found])
-        return ids
-
-    def ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if "<|" in text or not self.plain(text):
-            return np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self.part(p) for p in self.find(text.lower())])
+    def learn_parts(self, parts: list[str]) -> None:
+        """Ids of pre-tokens: the same for words that differ in case or marks."""
+        if len(self.parts) > self.LIMIT:
+            self.parts.clear()
+        tokenize = self.model.tokenize
+        new = [p for p in dict.fromkeys(parts) if p != "\n" and p not in self.parts]
+        for a in range(0, len(new), self.GROUP):
+            some = new[a : a + self.GROUP]
+            coded = "\n".join(some).encode().decode("latin-1").translate(self.bytes).split(self.line)
+            ids, at = [], [0]
+            for x in coded:
+                ids += [t.id for t in tokenize(x)]
+                at.append(4 * len(ids))
+            ids = np.array(ids, "<u4").tobytes()
+            self.parts.update(zip(some, (ids[i:j] for i, j in itertools.pairwise(at)), strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        text = b"\n".join(words).decode()
+        if odd := {w.encode() for w in self.odd(text)}:
+            plain = [w for w in words if w not in odd]
+            for w in odd:
+                normal = unicodedata.normalize("NFC", w.decode())
+                if "<|" not in normal and self.plain(normal):
+                    found = self.find(normal.lower())
+                    self.learn_parts(found)
+                    self.known[w] = b"".join([self.parts[p] for p in found])
+                else:
+                    self.known[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            words, text = plain, b"\n".join(plain).decode()
+        if not words:
+            return
+        found = self.find(text.lower())
+        self.learn_parts(found)
+        parts, ids, at = self.parts, [], iter(words)
+        for p in found:
+            if p == "\n":
+                self.known[next(at)] = b"".join(ids)
+                ids = []
+            else:
+                ids.append(parts[p])
+        self.known[next(at)] = b"".join(ids)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        known, out = self.known, []
-        if len(known) > self.LIMIT:
-            known.clear()
-        for w in words:
-            if (ids := known.get(w)) is None:
-                ids = self.ids(w)
-                known[w] = ids
-            out.append(ids)
-        return out
+        """Ids of distinct words, as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        return [self.known[w] for w in words]
 
 
 @functools.lru_cache(maxsize=1)
@@ -92,6 +117,23 @@ def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def joined(ids: list[bytes], order: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of rows of words, each row followed by END, and where each row ends.
+
+    ids are the distinct words' tokens, order the words' numbers, first each row's first word."""
+    flat = np.frombuffer(b"".join([*ids, END.to_bytes(4, "little")]), "<u4")
+    size = np.array([*map(len, ids), 4], np.int64) // 4
+    begin = np.cumsum(size) - size
+    order = np.insert(order.astype(np.int64), first[1:], len(ids))
+    stop = np.cumsum(size[order])
+    out = np.empty(int(stop[-1]) if len(stop) else 0, "<u4")
+    for a in range(0, len(order), WORDS_EACH):  # the indices of a very long text come in parts
+        some, till = order[a : a + WORDS_EACH], stop[a : a + WORDS_EACH]
+        lo, hi = int(till[0] - size[some[0]]), int(till[-1])
+        out[lo:hi] = flat[np.repeat(begin[some] - till + size[some], size[some]) + np.arange(lo, hi)]
+    return out, stop[first[1:] + np.arange(len(first) - 1)]
+
+
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each document's pieces of capacity tokens."""
 
@@ -102,18 +144,16 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for a, b in row_blocks(off, BLOCK_BYTES):
                 start, end, first, mask = word_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 coded = word_array(data[off[a] : off[b]], start, end, mask).dictionary_encode()
-                ids = coder.encode(coded.dictionary.to_pylist())
-                order = coded.indices.to_pylist()
-                took, cols = [], ([], [], [], [])
-                for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    tokens = b"".join([*(ids[w] for w in order[lo:hi]), b"\1\0\0\0"])
-                    for n, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                        part = tokens[at : at + 4 * capacity]
-                        took.append(a + i)
-                        for c, v in zip(cols, (n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            c.append(v)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                tokens, end = joined(coder.encode(coded.dictionary.to_pylist()), coded.indices.to_numpy(), first)
+                n = np.diff(end, prepend=0)
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(b - a), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                at, length = piece * capacity, np.minimum(n[row] - piece * capacity, capacity)
+                lo = (end - n)[row] + at
+                crc = [zlib.crc32(tokens[i:j]) for i, j in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+                cols = (pa.array(piece.astype(np.int32)), pa.array(at), pa.array(length), pa.array(crc, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
