@@ -46,9 +46,9 @@ def fuse(signals: DataFrame, floor: float = 0.05) -> DataFrame:
 
 def kelly(dists: DataFrame, fraction: float = 0.5, cap: float = 0.3, tc_weight: float = 0.001) -> DataFrame:
     """dists (mean, std, tc_bps, current) with f, elg (expected log growth) and turnover cost."""
-    second = F.greatest(F.col("std") * F.col("std") + F.col("mean") * F.col("mean"), F.lit(1e-12))
-    raw = fraction * F.col("mean") / second
-    f = clamp(raw - tc_weight * sign_up(raw) * F.col("tc_bps"), -cap, cap)
+    second = F.col("std") * F.col("std") + F.col("mean") * F.col("mean")
+    raw = F.when(second > 1e-15, fraction * F.col("mean") / second).otherwise(0.0)
+    f = clamp(raw - tc_weight * sign_up(raw - F.col("current")) * F.col("tc_bps") * 1e-4, -cap, cap)
     out = dists.withColumn("f", f)
     elg = F.col("f") * F.col("mean") - 0.5 * F.col("f") * F.col("f") * second
     return out.withColumn("elg", elg).withColumn("cost_bps", F.abs(F.col("f") - F.col("current")) * F.col("tc_bps"))

@@ -271,8 +271,8 @@ def fusion_mixture(spark, sf_dir):
     return _fused(spark, sf_dir).drop("regime")
 
 
-CANDS = FUSED + """, kl AS (SELECT fu.*, bars.close, greatest(least(0.5 * mean / greatest(std * std + mean * mean, 1e-12) - 0.001 * (CASE WHEN mean < 0 THEN -1 ELSE 1 END) * 5.0, 0.3), -0.3) AS f FROM fu JOIN bars USING (asset, open_time)),
- cd AS (SELECT *, f * mean - 0.5 * f * f * greatest(std * std + mean * mean, 1e-12) AS elg, abs(f) * 5.0 AS cost_bps FROM kl), ok AS (SELECT * FROM cd WHERE confidence >= 0.1 AND abs(p_up - p_down) >= 0.05 AND abs(f) >= 1e-4 AND elg >= 0.0)"""
+CANDS = FUSED + """, kl AS (SELECT fu.*, bars.close, greatest(least(0.5 * mean / (std * std + mean * mean) - 0.001 * (CASE WHEN mean < 0 THEN -1 ELSE 1 END) * 5.0 * 1e-4, 0.3), -0.3) AS f FROM fu JOIN bars USING (asset, open_time)),
+ cd AS (SELECT *, f * mean - 0.5 * f * f * (std * std + mean * mean) AS elg, abs(f) * 5.0 AS cost_bps FROM kl), ok AS (SELECT * FROM cd WHERE confidence >= 0.1 AND abs(p_up - p_down) >= 0.05 AND abs(f) >= 1e-4 AND elg >= 0.0)"""
 
 
 def _candidates(spark, sf_dir):
@@ -412,3 +412,56 @@ def gbt_signal(spark, sf_dir):
         return {"p_down": p[0], "p_flat": p[1], "p_up": p[2]}
 
     return scans.by_asset(_returns(spark, sf_dir), ["ret", "volume"], "open_time", fit, ("p_down", "p_flat", "p_up"), 40)
+
+
+# ---- plain relational coverage ------------------------------------------------------------------
+
+
+def _tables(spark, sf_dir, *names):
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+@query("""SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+ GROUP BY n_name""", 2)
+def orders_by_nation(spark, sf_dir):
+    o, c, n = _tables(spark, sf_dir, "orders", "customer", "nation")
+    by = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("k"), F.sum("o_totalprice").alias("t"))
+    got = by.join(c, by["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == n["n_nationkey"])
+    return got.groupBy("n_name").agg(F.sum("k").alias("n_orders"), F.sum("t").alias("total"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + grouping(l_linestatus) AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem
+ GROUP BY CUBE (l_returnflag, l_linestatus)""", 2)
+def lineitem_cube(spark, sf_dir):
+    (x,) = _tables(spark, sf_dir, "lineitem")
+    level = F.grouping("l_returnflag").cast("long") + F.grouping("l_linestatus").cast("long")
+    return x.cube("l_returnflag", "l_linestatus").agg(level.alias("level"), F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
+def customers_without_urgent_orders(spark, sf_dir):
+    c, o = _tables(spark, sf_dir, "customer", "orders")
+    return c.join(o.where("o_orderpriority = '1-URGENT'"), c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def shared_nations(spark, sf_dir):
+    c, s = _tables(spark, sf_dir, "customer", "supplier")
+    return c.select(F.col("c_nationkey").alias("nationkey")).intersect(s.select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
+def nations_without_debt(spark, sf_dir):
+    n, s = _tables(spark, sf_dir, "nation", "supplier")
+    return n.select(F.col("n_nationkey").alias("nationkey")).subtract(s.where("s_acctbal < 0").select("s_nationkey"))
+
+
+@query("""SELECT c_nationkey, c_custkey, round(c_acctbal, 2) AS c_acctbal, place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer)
+ WHERE place <= 3""", 2)
+def top_customers(spark, sf_dir):
+    """The three highest balances of each nation."""
+    from pyspark.sql import Window
+
+    (c,) = _tables(spark, sf_dir, "customer")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
+    return c.select("c_nationkey", "c_custkey", "c_acctbal", place.alias("place")).where("place <= 3")
