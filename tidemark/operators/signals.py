@@ -84,7 +84,8 @@ def best_subset(cands: DataFrame, most: int = 3, budget: float = 25.0, cap: int
 
 
 def legs(chosen: DataFrame, max_gross: float = 3.0, max_net: float = 1.8, cap: float = 0.3, max_leverage: float = 3.0) -> DataFrame:
-    """Scale the chosen fractions to the exposure limits, and add direction, leverage, stop, target."""
+    """Scale the chosen fractions to the exposure limits, and add direction, leverage, stop, target;
+    confidence is kept where it is there."""
     tick = Window.partitionBy("open_time")
     gross, net = F.sum(F.abs("f")).over(tick), F.abs(F.sum("f").over(tick))
     scale = F.least(F.when(gross > max_gross, max_gross / gross).otherwise(1.0), F.when(net > max_net, max_net / net).otherwise(1.0))
@@ -93,7 +94,7 @@ def legs(chosen: DataFrame, max_gross: float = 3.0, max_net: float = 1.8, cap: f
     distance = 2 * F.greatest(F.col("std"), F.lit(0.001)) * F.col("close")
     rr = F.when(F.col("regime") == "high_vol", 3.0).when(F.col("regime") == "trending", 2.0).otherwise(1.5)
     side = sign_up(F.col("scaled"))
-    return out.select("open_time", "asset", F.when(F.col("scaled") >= 0, "LONG").otherwise("SHORT").alias("direction"), size.alias("fraction"), clamp(size * max_leverage, 1.0, max_leverage).alias("leverage"), (F.col("close") - side * distance).alias("stop"), (F.col("close") + side * distance * rr).alias("target"))
+    return out.select("open_time", "asset", F.when(F.col("scaled") >= 0, "LONG").otherwise("SHORT").alias("direction"), size.alias("fraction"), clamp(size * max_leverage, 1.0, max_leverage).alias("leverage"), (F.col("close") - side * distance).alias("stop"), (F.col("close") + side * distance * rr).alias("target"), F.col("close").alias("entry"), "elg", "regime", *(c for c in ("confidence",) if c in chosen.columns))
 
 
 def first_reason(gates: list[tuple]) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, book, pairs, scans, signals, windows
+from tidemark.operators import backtest, book, orders, pairs, scans, signals, sizing, windows
 from tidemark.operators.windows import rounded
 from tidemark.sources import market
 
@@ -290,6 +290,73 @@ def combo_legs(spark, sf_dir):
     return signals.legs(signals.best_subset(_candidates(spark, sf_dir)))
 
 
+_LEGS = CANDS + """, tk2 AS (SELECT *, sum(abs(f)) OVER (PARTITION BY open_time) AS g, abs(sum(f) OVER (PARTITION BY open_time)) AS nt FROM ok),
+ sc AS (SELECT *, f * least(CASE WHEN g > 3.0 THEN 3.0 / g ELSE 1.0 END, CASE WHEN nt > 1.8 THEN 1.8 / nt ELSE 1.0 END) AS s, 2 * greatest(std, 0.001) * close AS dist,
+ CASE WHEN std > 0.02 THEN 3.0 WHEN abs(p_up - p_down) > 0.3 THEN 2.0 ELSE 1.5 END AS rr FROM tk2),
+ lg AS (SELECT *, CASE WHEN s < 0 THEN -1 ELSE 1 END AS side, least(abs(s), 0.3) AS fr FROM sc),
+ si AS (SELECT sha256(asset || '/' || open_time) AS signal_id, asset, s >= 0 AS up, close AS entry, close - side * dist AS stop, close + side * dist * rr AS target,
+ 10000 * fr * greatest(least(fr * 3.0, 3.0), 1.0) / close AS contracts FROM lg)"""
+
+
+@query(_LEGS + """ SELECT signal_id, asset, 'entry' AS kind, up AS is_buy, round(entry, 4) AS limit_px, round(contracts, 4) AS contracts, false AS reduce_only, 'gtc' AS tif, CAST(NULL AS VARCHAR) AS trigger FROM si
+ UNION ALL SELECT signal_id, asset, 'stop_loss', NOT up, round(stop, 4) + 0.0, round(contracts, 4), true, NULL, 'market' FROM si UNION ALL SELECT signal_id, asset, 'take_profit', NOT up, round(target, 4) + 0.0, round(contracts, 4), true, NULL, 'limit' FROM si""", 4)
+def order_intents(spark, sf_dir):
+    return orders.brackets(orders.leg_signals(signals.legs(_candidates(spark, sf_dir)), nav=10_000.0))
+
+
+def _dp_sql(horizon: int) -> str:
+    """The grid's values as lists, one step of the horizon in each CTE."""
+    growth = "{f} * mean - 0.5 * {f} * {f} * sec"
+    single = "greatest(least(raw - 0.001 * (CASE WHEN raw - {f} < 0 THEN -1 ELSE 1 END) * 5.0 * 1e-4, 0.3), -0.3)"
+    held = single.format(f="f")
+    out = FUSED + f""", g0 AS (SELECT *, std * std + mean * mean AS sec, list_transform(range(41), lambda i: -0.3 + 0.6 * i / 40) AS grid FROM fu WHERE confidence > 0.1 AND abs(p_up - p_down) >= 0.05),
+ g1 AS (SELECT *, CASE WHEN sec > 1e-15 THEN 0.5 * mean / sec ELSE 0.0 END AS raw FROM g0),
+ h1 AS (SELECT *, list_transform(grid, lambda f: {growth.format(f=held)} - 0.001 * abs({held} - f)) AS v FROM g1)"""
+    gain = "list_transform(grid, lambda h, j: " + growth.format(f="h") + " - 0.001 * abs(h - {now}) + v[j])"
+    for step in range(2, horizon + 1):
+        out += f", h{step} AS (SELECT * REPLACE (list_transform(grid, lambda f: list_max({gain.format(now='f')})) AS v) FROM h{step - 1})"
+    out += f""", pick AS (SELECT *, {gain.format(now="grid[21]")} AS w FROM h{horizon}), best AS (SELECT *, grid[42 - list_position(list_reverse(w), list_max(w))] AS f FROM pick),
+ big AS (SELECT *, sum(abs(f)) OVER (PARTITION BY open_time) AS gr, abs(sum(f) OVER (PARTITION BY open_time)) AS nt, {single.format(f="0.0")} AS one FROM best WHERE abs(f) >= 1e-4),
+ scl AS (SELECT *, f * least(CASE WHEN gr > 3.0 THEN 3.0 / gr ELSE 1.0 END, CASE WHEN nt > 1.8 THEN 1.8 / nt ELSE 1.0 END) AS s FROM big)
+ SELECT open_time, asset, CASE WHEN s >= 0 THEN 'LONG' ELSE 'SHORT' END AS direction, round(least(abs(s), 0.3), 4) AS fraction, round(greatest(least(least(abs(s), 0.3) * 3.0, 3.0), 1.0), 4) AS leverage,
+ round(least(abs(s), 0.3) * 10000, 4) AS size_usd, round(one * mean - 0.5 * one * one * sec, 4) + 0.0 AS elg FROM scl"""
+    return out
+
+
+@query(_dp_sql(3), 4)
+def dp_sizing(spark, sf_dir):
+    """Decisions over three periods from a flat book."""
+    got = sizing.dp_decisions(_fused(spark, sf_dir).withColumn("current", F.lit(0.0)), 3, 10_000.0, least_confidence=0.1)
+    return got.drop("confidence", "regime")
+
+
+@query(BOOKS + """ SELECT asset, asset AS signal_id, 'close' AS kind, asset <> 'A' AS is_buy, round(CASE WHEN asset = 'A' THEN apx ELSE bpx END, 4) AS limit_px, CAST(5.0 AS DOUBLE) AS contracts, true AS reduce_only, 'ioc' AS tif, CAST(NULL AS VARCHAR) AS trigger FROM top""", 4)
+def close_intents(spark, sf_dir):
+    books = market.books(spark, sf_dir)
+    side = F.when(F.col("asset") == "A", "LONG").otherwise("SHORT").alias("direction")
+    held = books.select("asset", F.col("asset").alias("signal_id"), side, F.lit(200.0).alias("entry"), F.lit(500.0).alias("size_usd"), F.lit(2.0).alias("leverage"))
+    return orders.closes(held, books)
+
+
+_EACH = " UNION ALL ".join(
+    f"""SELECT event_type AS asset, '{n}' AS "interval", (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % {w} AS open_time, arg_min(value, (epoch_us(ts) // 1000) * 1000000 + event_id) AS open, max(value) AS high, min(value) AS low,
+ arg_max(value, (epoch_us(ts) // 1000) * 1000000 + event_id) AS close, sum(value) AS volume, count(*) AS num_trades FROM events GROUP BY 1, 2, 3"""
+    for n, w in market.INTERVALS.items()
+)
+
+
+@query(f"""SELECT asset, "interval", open_time, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, num_trades FROM ({_EACH}) WHERE close > 0""", 4)
+def bars_all_intervals(spark, sf_dir):
+    return market.all_bars(market.ticks(spark, sf_dir))
+
+
+@query(RETS + """, f AS (SELECT asset, open_time, ret AS rate FROM rets WHERE (open_time // 3600000) % 8 = 0) SELECT asset, open_time, round(rate, 6) AS rate FROM f WHERE open_time >= (SELECT max(open_time) FROM f) - 604800000""")
+def funding_recent(spark, sf_dir):
+    """The funding rates of the last seven days."""
+    rates = _returns(spark, sf_dir).where((F.col("open_time") / 3_600_000).cast("long") % 8 == 0).select("asset", "open_time", F.col("ret").alias("rate"))
+    return market.recent(rates, "open_time", 7 * 86_400_000)
+
+
 _STATE = BARS + f""", dw AS (SELECT asset, open_time, (greatest(max(close) OVER ({_T}), 0.0) - close) / greatest(max(close) OVER ({_T}), 0.0) AS drawdown, num_trades / 2.0 AS lev, volume, close, high, low FROM bars)"""
 
 

@@ -32,6 +32,32 @@ def bars(ticks: DataFrame, width_ms: int = HOUR) -> DataFrame:
     return out.where("close > 0")
 
 
+#: Widths of the bars that are kept, in milliseconds.
+INTERVALS = {"1m": 60_000, "5m": 300_000, "1h": HOUR, "1d": 86_400_000}
+
+
+def all_bars(ticks: DataFrame) -> DataFrame:
+    """Bars of all INTERVALS, with interval: ticks are aggregated once, to minutes, and the wider
+    bars are made from those. Bars that close at 0 are dropped at each width."""
+    order = F.struct("ms", "event_id")
+    minute = ticks.groupBy("asset", (F.col("ms") - F.col("ms") % INTERVALS["1m"]).alias("minute")).agg(
+        F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"),
+        F.sum("value").alias("volume"), F.count(F.lit(1)).alias("num_trades"),
+    )
+    widths = F.explode(F.array(*(F.struct(F.lit(n).alias("interval"), F.lit(w).cast("long").alias("width")) for n, w in INTERVALS.items())))
+    rows = minute.withColumn("i", widths)
+    out = rows.groupBy("asset", F.col("i.interval").alias("interval"), (F.col("minute") - F.col("minute") % F.col("i.width")).alias("open_time")).agg(
+        F.min_by("open", "minute").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "minute").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("num_trades").alias("num_trades"),
+    )
+    return out.where("close > 0")
+
+
+def recent(df: DataFrame, time: str, width_ms: int) -> DataFrame:
+    """The rows of df from width_ms before its latest time on."""
+    return df.where(F.col(time) >= df.agg(F.max(time)).scalar() - width_ms)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset, day (days since 1970), close: from orders."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
