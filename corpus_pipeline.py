@@ -19,26 +19,33 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _h1 and _h2, 128 bits of the text: rows that agree in doc_id and these are copies."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
+
+
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one with the smallest doc_id (of rows that
-    share it, one; of a group without ids, one)."""
-    fps = materialize(simhash.fingerprints(docs), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
+    """Keeps one document of each SimHash group: the one with the smallest doc_id (null last), of
+    those that share it one text, of equal rows one. What is in no group stays, whatever its doc_id."""
+    rows = _keyed(docs)
+    fps = materialize(simhash.fingerprints(rows, keep=["_h1", "_h2"]), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
+    distinct = materialize(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
     roots = simhash.components(simhash.links(distinct))
     nodes = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
     # most fingerprints stand alone: only groups of several rows have anything to drop
     groups = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "keep")
     members = materialize(nodes.select("fp", "root").join(groups, "root").select("fp", "root", "keep"), "members")
-    dropped = fps.join(members, "fp").where("keep is not null and not (doc_id <=> keep)").select("doc_id").distinct()
-    out = docs.join(dropped.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return _first_of_each(out, docs.columns)
+    dropped = fps.join(members, "fp").where(~row.eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    return _first_of_each(rows.join(dropped, same, "left_anti"), docs.columns)
 
 
 def _first_of_each(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Of rows that agree in doc_id, or have none and agree in text, the first by text and the rest."""
-    key = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).alias("t"))
+    """Of rows that agree in doc_id and text, one."""
     row = F.struct("text", *(c for c in columns if c != "text"))
-    got = df.groupBy(key.alias("k")).agg(F.min_by(row, F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*columns))).alias("r"))
+    got = df.groupBy("doc_id", "_h1", "_h2").agg(F.min_by(row, F.xxhash64(*columns)).alias("r"))
     return got.select(*(F.col(f"r.{c}").alias(c) for c in columns))
 
 

@@ -221,3 +221,18 @@ def test_near_dedup_repeats(spark, rows):
 
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert P.stage_near_dedup(spark, docs, SF).count() == 1
+
+
+def test_near_dedup_drops_by_row(spark):
+    import corpus_pipeline as P
+
+    def text(seed):
+        rnd = random.Random(seed)
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+
+    copies = [(5, text(0)), (None, text(0).upper()), (7, text(0)), (None, text(8)), (None, text(8).upper())]
+    others = [(None, text(1)), (None, text(2)), (7, text(3)), (9, text(4)), (9, text(5))]
+    docs = spark.createDataFrame([(i, t, "", "", 5) for i, t in copies + others], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in P.stage_near_dedup(spark, docs, SF).collect()]
+    assert sorted(left, key=key) != [] and set(others) | {copies[0]} <= set(left)
+    assert len(left) == len(others) + 2 and sum(t.lower() == text(8) for _, t in left) == 1

@@ -17,6 +17,7 @@ id that is not null. Rows that repeat are rows like any other. Other columns are
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns keep, which are longs."""
 
     def scan(batches):
         for batch in batches:
             data, off = text_buffer(batch.column(1))
             raw, off = data.tobytes(), off.tolist()
             fp = np.array([fingerprint(raw[a:b], size) for a, b in zip(off, off[1:], strict=False)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return rows.mapInArrow(scan, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 _SPAN = 24  # a part's count is 0 to 16; neighbours reach 3 below and above
