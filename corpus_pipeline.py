@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, pii, quality, simhash
+from tidemark.llm import decontaminate, near_dup, packing, pii, quality, simhash
 from tidemark.llm.common import documents, materialize, shared_dir
 
 
@@ -26,18 +26,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one with the smallest doc_id (null last), of
-    those that share it one text, of equal rows one. What is in no group stays, whatever its doc_id."""
+    """Keeps one document of each group of near-duplicates (see near_dup): the one with the smallest
+    doc_id (null last), of those that share it one text, of equal rows one. What is in no group
+    stays, whatever its doc_id."""
     rows = _keyed(docs)
-    fps = materialize(simhash.fingerprints(rows, keep=["_h1", "_h2"]), "fingerprints")
+    own = materialize(near_dup.shingled(rows, ["doc_id", "_h1", "_h2"]), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
-    roots = simhash.components(simhash.links(distinct))
-    nodes = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root"))
-    # most fingerprints stand alone: only groups of several rows have anything to drop
+    distinct = materialize(own.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
+    roots = simhash.components(near_dup.links(own))
+    nodes = distinct.join(roots, distinct["node"] == roots["u"], "left").select("node", "first", "rows", F.coalesce("root", "node").alias("root"))
+    # most texts stand alone: only groups of several rows have anything to drop
     groups = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "keep")
-    members = materialize(nodes.select("fp", "root").join(groups, "root").select("fp", "root", "keep"), "members")
-    dropped = fps.join(members, "fp").where(~row.eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
+    members = materialize(nodes.select("node", "root").join(groups, "root").select("node", "root", "keep"), "members")
+    dropped = own.select("doc_id", "_h1", "_h2", "node").join(members, "node").where(~row.eqNullSafe(F.col("keep"))).select(F.col("doc_id").alias("_gone"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
     return _first_of_each(rows.join(dropped, same, "left_anti"), docs.columns)
 

@@ -236,3 +236,40 @@ def test_near_dedup_drops_by_row(spark):
     left = [(r.doc_id, r.text) for r in P.stage_near_dedup(spark, docs, SF).collect()]
     assert sorted(left, key=key) != [] and set(others) | {copies[0]} <= set(left)
     assert len(left) == len(others) + 2 and sum(t.lower() == text(8) for _, t in left) == 1
+
+
+def test_near_dedup_finds_all_pairs(spark):
+    import corpus_pipeline as P
+    from tidemark.llm import near_dup
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rnd.choice((4, 12, 60, 200)))]
+        for _ in range(rnd.choice((1, 2, 6))):
+            t = list(base)
+            for _ in range(rnd.choice((0, 1, 1, 2, 4))):
+                t[rnd.randrange(len(t))] = word()
+            texts.append(" ".join(t if rnd.random() < 0.7 else t[: len(t) * 9 // 10]))
+    texts += ["", "\t", texts[0].upper()]
+    docs = spark.createDataFrame([(i, t, "", "", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                linked += sets[i] != sets[j]
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    left = {r.doc_id for r in P.stage_near_dedup(spark, docs, SF).collect()}
+    assert left == {i for i in range(len(texts)) if root[i] == i} and linked > 30
+    assert near_dup.prefix(np.arange(10, dtype=np.uint64), np.array([0], np.uint64), np.array([9])).tolist() == [1, 2, 3]

@@ -70,7 +70,11 @@ def _near(radius: int) -> list[int]:
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles: all of them if they are few, else a spanning forest."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
+    return spanning(a, b, np.bitwise_count(a[:, None] ^ b[None, :]) <= radius, same)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links where near is set: all of them if they are few, else a spanning forest. near is changed."""
     if same:
         np.fill_diagonal(near, False)
     i, j = np.nonzero(near)
