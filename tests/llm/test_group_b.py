@@ -273,3 +273,13 @@ def test_near_dedup_finds_all_pairs(spark):
     left = {r.doc_id for r in P.stage_near_dedup(spark, docs, SF).collect()}
     assert left == {i for i in range(len(texts)) if root[i] == i} and linked > 30
     assert near_dup.prefix(np.arange(10, dtype=np.uint64), np.array([0], np.uint64), np.array([9])).tolist() == [1, 2, 3]
+
+
+def test_decontamination_tries_unaligned_windows():
+    from tidemark.llm.decontaminate import Items
+
+    item = [f"w{i}" for i in range(64)]
+    doc = ["x", *item[1:32], "y", "z", *item[32:63], "v"]
+    raw = np.frombuffer(" ".join(doc).encode(), np.uint8)
+    got = Items([7], [" ".join(item).encode()]).hits(raw, np.array([0, len(raw)]))
+    assert [h[:4] for h in got] == [(0, 7, 1, 64)] and abs(got[0][5] - windows_brute(" ".join(doc), " ".join(item))) < 1e-9

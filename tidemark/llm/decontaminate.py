@@ -1,12 +1,11 @@
-"""Benchmark decontamination by SimHash over windows of each item's size.
+"""Benchmark decontamination over windows of each item's size.
 
 Texts and items are lower-cased (A-Z), cut into words ``[^\\x20\\x09-\\x0D]+`` and into shingles of five
-words (items with fewer: the whole item). A window that shares no shingle with any item has
-similarity 0, so only windows that a shared shingle aligns with an item are fingerprinted. A
-multi-index over eight 8-bit blocks gives every item fingerprint within RADIUS of the window's:
-RADIUS differing bits leave at most RADIUS // 8 in some block. Candidates of the window's size
-are then compared exactly: the weighted shingle similarity sums, over shingles, the smaller and
-the larger count, and a window is a hit at LEAST or more.
+words (items with fewer: the whole item). The weighted shingle similarity sums, over shingles, the
+smaller and the larger count, and a window is a hit at LEAST or more. Of k shingles of a window and
+m of an item such a hit shares LEAST * (k + m) / (1 + LEAST) or more, so every window start that has
+as many shared shingles is compared exactly, whether a shingle stands at the item's offset or not.
+Fingerprints are reported, and don't decide: within() gives the items of a radius.
 
 Items are taken in blocks of at most ITEM_BYTES of text, one pass over the documents for each,
 so what is broadcast is bounded; documents are not shuffled. Null and empty texts and items
@@ -14,6 +13,7 @@ have no hits. Items that repeat are separate items. Null ids are kept in the res
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import superkmer as S
 from tidemark.llm.common import LOWER, row_blocks, text_buffer, word_array, word_spans
 
-SHINGLE, RADIUS, LEAST, BLOCK_BYTES, ITEM_BYTES = 5, 20, 0.8, 2 << 20, 16 << 20
+SHINGLE, LEAST, BLOCK_BYTES, ITEM_BYTES = 5, 0.8, 2 << 20, 16 << 20
 _NEAR = [np.array([x for x in range(256) if x.bit_count() <= r]) for r in range(9)]
 
 
@@ -86,7 +86,7 @@ class Items:
                 found.update(at[x])
         return [i for i in sorted(found) if (int(self.prints[i]) ^ fp).bit_count() <= radius]
 
-    def hits(self, data: np.ndarray, off: np.ndarray, radius: int = RADIUS, least: float = LEAST):
+    def hits(self, data: np.ndarray, off: np.ndarray, least: float = LEAST):
         """(row, item, first word, words, differing bits, similarity): the best window of each item."""
         first, hashes = _hashes(data, off)
         best: dict[tuple[int, int], tuple] = {}
@@ -96,27 +96,25 @@ class Items:
             at = maybe[known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]]
             row = np.searchsorted(first, at, "right") - 1
             ok = at + size <= first[row + 1]
-            windows: dict[tuple[int, int, int], None] = {}
+            shared: dict[tuple[int, int], list[int]] = {}
             for p, r, x in zip(at[ok].tolist(), row[ok].tolist(), h[at[ok]].tolist(), strict=True):
-                lo, hi = int(first[r]), int(first[r + 1])
-                for i, o in self.places[size][x]:
-                    n = int(self.words[i])
-                    windows[(r, max(lo, min(p - o, hi - n)), n)] = None
-            for r, a, n in windows:
-                b = min(a + n, int(first[r + 1]))
-                own = h[a : b - size + 1]
-                fp = simhash(own)
-                found = [i for i in self.within(fp, radius) if self.words[i] == n and self.shingles[i] == size]
-                if not found:
-                    continue
-                have = Counter(own.tolist())
-                for i in found:
-                    both = sum((have & self.counts[i]).values())
-                    alike = both / (sum(have.values()) + sum(self.counts[i].values()) - both)
-                    if alike >= least:
-                        new = (alike, -(a - int(first[r])), b - a, (int(self.prints[i]) ^ fp).bit_count())
-                        if (r, i) not in best or new > best[r, i]:
-                            best[r, i] = new
+                for i in dict.fromkeys(i for i, _ in self.places[size][x]):
+                    shared.setdefault((r, i), []).append(p)
+            for (r, i), places in shared.items():
+                lo, hi, m = int(first[r]), int(first[r + 1]), int(self.words[i]) - size + 1
+                n = min(int(self.words[i]), hi - lo)
+                k = n - size + 1
+                need = max(1, math.ceil(least * (k + m) / (1 + least) - 1e-9))
+                done = lo - 1
+                for j in range(len(places) - need + 1):
+                    # the starts whose windows hold these shared shingles
+                    for a in range(max(done + 1, lo, places[j + need - 1] - k + 1), min(places[j], hi - n) + 1):
+                        done = a
+                        own = h[a : a + k]
+                        both = sum((Counter(own.tolist()) & self.counts[i]).values())
+                        alike = both / (k + m - both)
+                        if alike >= least and ((r, i) not in best or (alike, lo - a) > best[r, i][:2]):
+                            best[r, i] = (alike, lo - a, n, (int(self.prints[i]) ^ simhash(own)).bit_count())
         return [(r, self.ids[i], -a, n, bits, alike) for (r, i), (alike, a, n, bits) in sorted(best.items())]
 
 
