@@ -110,3 +110,15 @@ def test_maximal_repeats_have_all_occurrences():
     off = np.cumsum([0, *map(len, rows)])
     got = {(tuple(sorted(p.tolist())), n) for p, n in maximal_repeats(np.frombuffer(b"".join(rows), np.uint8), off, 5)}
     assert got == {((2, 14), 8), ((2, 14, 25, 32), 6)}
+
+
+def test_rows_whose_32_bit_hashes_agree(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import keyed
+
+    texts = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    pair = [r.t for r in texts.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").select(F.array("a", "b").alias("t")).limit(1).collect()][0]
+    rows = [(None, t, "x", 1, 2) for t in pair]
+    assert len({r.th for r in keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}) == 2
+    assert keyed(texts, "doc_id", "text").select("th").distinct().count() == 200_000

@@ -69,12 +69,13 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, th, text: th (a hash of the text) tells rows apart that share an id. Operators whose
+    """did, th, text: th (64 bits of the text) tells rows apart that share an id, null ids too: of
+    ten million such rows, two differ and agree in th with a probability of 3 in a million. Operators whose
     decision depends on id and text alone give rows that agree in both the same result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.hash(text).alias("th"),
+        F.xxhash64(text).alias("th"),
         text.alias("text"),
     )
 

@@ -145,13 +145,13 @@ class Packer:
     def add_ranges(self, *arrays: np.ndarray) -> None:
         if len(arrays[0]):
             self.ranges.append(arrays)
-            self.bytes += 20 * len(arrays[0])
+            self.bytes += 24 * len(arrays[0])
 
     def flush(self):
         """Rows (part, bucket, n, blob); bucket -1 carries finished ranges."""
         if self.ranges:
             did, th, lo, hi = (np.concatenate(x) for x in zip(*self.ranges, strict=True))
-            blob = b"".join((did.astype(np.int64).tobytes(), th.astype(np.int32).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes()))
+            blob = b"".join((did.astype(np.int64).tobytes(), th.astype(np.int64).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes()))
             self.turn += 1
             yield (int(did[0]) + 7919 * self.turn) % self.parts, -1, len(did), self.zip.compress(blob)
         if self.held:
@@ -175,7 +175,7 @@ def unpack(n: int, blob: bytes):
     """The parts of a bucket's blob: (part, columns, text), in order of part."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     cols, at = [], 0
-    for kind in (np.int8, np.int64, np.int32, np.int32, np.int16, np.int32):
+    for kind in (np.int8, np.int64, np.int64, np.int32, np.int16, np.int32):
         cols.append(np.frombuffer(raw, kind, n, at).copy())
         at += n * np.dtype(kind).itemsize
     cols[5] = cols[5].astype(np.int64) + cols[4]  # the length came as what it has beyond the count
@@ -188,7 +188,7 @@ def unpack(n: int, blob: bytes):
 
 def unpack_ranges(n: int, blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    return [np.frombuffer(raw, np.int64, n, 0), *(np.frombuffer(raw, np.int32, n, i * n) for i in (8, 12, 16))]
+    return [*(np.frombuffer(raw, np.int64, n, i * n) for i in (0, 8)), *(np.frombuffer(raw, np.int32, n, i * n) for i in (16, 20))]
 
 
 def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, level: int = 3) -> DataFrame:
@@ -224,7 +224,7 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
         import pyarrow as pa
 
         def out(did, th, lo, hi):
-            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["did", "th", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["did", "th", "lo", "hi"])
 
         def closed(held):
             for sub in sorted(held):
@@ -247,7 +247,7 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
 
     packed = docs.select("did", "th", "text").mapInArrow(scan, "part int, bucket int, n int, blob binary")
     dealt = packed.repartitionById(parts, packed["part"]).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, "did long, th int, lo int, hi int")
+    return dealt.mapInArrow(settle, "did long, th long, lo int, hi int")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
