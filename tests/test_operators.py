@@ -157,3 +157,16 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {(r.asset, r.open_time): r.level for r in scans.linear_kalman(spark.read.parquet(str(tmp_path / "in"))).collect()}
     assert batch.keys() == got.keys()
     assert all(got[k] == pytest.approx(batch[k]) for k in got)
+
+
+def test_discrete_wins_on_two_peaks(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.plans import catalog
+
+    rnd = np.random.default_rng(2)
+    r = np.concatenate([rnd.normal(-1, 0.05, 300), rnd.normal(1, 0.05, 300)])
+    rows = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(r)], "asset string, open_time long, ret double")
+    monkeypatch.setattr(catalog, "_returns", lambda *_: rows)
+    got = catalog.QUERIES["return_dist_best"](spark, "").collect()
+    assert [x.name for x in got] == ["discrete"]

@@ -439,7 +439,8 @@ def return_dist_best(spark, sf_dir):
     """Of the fitted distributions the one with the lowest AIC; ties go to the first."""
     t = _fit(scans.student_t, ("aic",))(spark, sf_dir).select("asset", F.struct("aic", F.lit(0).alias("k"), F.lit("student_t").alias("name")).alias("d"))
     c = _fit(scans.cauchy, ("aic",))(spark, sf_dir).select("asset", F.struct("aic", F.lit(1).alias("k"), F.lit("cauchy").alias("name")).alias("d"))
-    return t.unionByName(c).groupBy("asset").agg(F.min("d").alias("d")).select("asset", F.col("d.name").alias("name"), F.col("d.aic").alias("aic"))
+    h = _fit(scans.discrete, ("aic",))(spark, sf_dir).select("asset", F.struct("aic", F.lit(2).alias("k"), F.lit("discrete").alias("name")).alias("d"))
+    return t.unionByName(c).unionByName(h).groupBy("asset").agg(F.min("d").alias("d")).select("asset", F.col("d.name").alias("name"), F.col("d.aic").alias("aic"))
 
 
 @query()
