@@ -78,20 +78,21 @@ def test_long_row_in_pieces(spark, monkeypatch):
 
     monkeypatch.setattr(M, "BLOCK_BYTES", 200)
     rows = corpus(3)
-    docs = [(M.NULL_ID if i is None else i, 0, t or "") for i, t, *_ in rows]
+    docs = [t or "" for _, t, *_ in rows]
     import numpy as np
 
     from tidemark.llm import superkmer as S
 
     got = []
     class Spy(S.Packer):
-        def add(self, least, did, th, start, count, raw, lo, hi):
+        def add(self, least, row, start, count, raw, lo, hi):
             got.extend((int(s), raw[a:b]) for s, a, b in zip(start, lo, hi, strict=True))
     caught = {}
     monkeypatch.setattr(S, "removal_ranges", lambda docs, block, bucket, size, **k: caught.update(block=block))
     M.removed_ranges(None)
-    text = max((d[2] for d in docs), key=len).encode()
-    caught["block"](Spy(4, 4), np.array([1]), np.array([2]), np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    text = max(docs, key=len).encode()
+    one = (np.array([1]), np.array([2]), np.array([3]))
+    caught["block"](Spy(4, 4), one, np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.zeros(0, np.uint64))
     assert {raw[j : j + 50] for _, raw in got for j in range(len(raw) - 49)} == {text[j : j + 50] for j in range(len(text) - 49)}
     assert all(text[s : s + len(raw)] == raw for s, raw in got)
 
@@ -120,5 +121,82 @@ def test_rows_whose_32_bit_hashes_agree(spark):
     texts = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     pair = [r.t for r in texts.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").select(F.array("a", "b").alias("t")).limit(1).collect()][0]
     rows = [(None, t, "x", 1, 2) for t in pair]
-    assert len({r.th for r in keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}) == 2
+    got = keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()
+    assert len({r.th for r in got}) == len({r.tl for r in got}) == 2
     assert keyed(texts, "doc_id", "text").select("th").distinct().count() == 200_000
+    assert keyed(texts, "doc_id", "text").select("tl").where("th <> tl").distinct().count() == 200_000
+
+
+def test_many_equal_rows_without_ids(spark):
+    from tidemark.llm.common import keyed
+    from tidemark.llm.substring_dedup import removed_ranges
+
+    text = " ".join(f"w{i % 70}" for i in range(300))
+    rows = [(None, text, "x", 1, 2)] * 500 + [(None, "a " + text, "x", 1, 2), (None, None, "x", 1, 2)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(40)
+    assert sorted([tuple(r)[:4] for r in substring_dedup(df).collect()], key=key) == sorted(brute_words(rows, 35), key=key)
+    assert sorted([tuple(r)[:5] for r in suffix_dedup(df).collect()], key=key) == sorted(brute_bytes(rows, 50), key=key)
+    lists = removed_ranges(keyed(df, "doc_id", "text")).distinct().groupBy("did", "th", "tl").count().collect()
+    assert len(lists) == 2 and all(r["count"] < 40 for r in lists)
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_windows_of_a_hot_minimiser_scatter(spark, words, monkeypatch):
+    """Rows that share little more than one minimiser: as many windows, and far smaller buckets."""
+    from tidemark.llm import superkmer as S
+    from tidemark.llm.common import keyed
+    from tidemark.llm.substring_dedup import removed_ranges as by_words
+    from tidemark.llm.suffix_dedup import removed_ranges as by_bytes
+
+    rnd = random.Random(11)
+    common = " ".join(f"c{i}" for i in range(30 if words else 12))
+    word = lambda: f"{rnd.randrange(10**9)}"
+    side = 30 if words else 3
+    rows = [(i, " ".join([*(word() for _ in range(side)), common, *(word() for _ in range(side))]), "x", 1, 2) for i in range(400)]
+    rows += [(1000 + i, t, "x", 1, 2) for i, (_, t, *_) in enumerate(rows[:40])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    blocks = {}
+    real = S.removal_ranges
+
+    def spy(docs, block, bucket, size, **how):
+        blocks["map"] = block
+        return real(docs, block, bucket, size, **how)
+
+    monkeypatch.setattr(S, "removal_ranges", spy)
+    find = by_words if words else by_bytes
+    find(keyed(df, "doc_id", "text"))
+    raw = "".join(t for _, t, *_ in rows).encode()
+    import numpy as np
+
+    off = np.concatenate(([0], np.cumsum([len(t.encode()) for _, t, *_ in rows])))
+    own = tuple(np.arange(len(rows)) for _ in range(3))
+    data = np.frombuffer(raw, np.uint8)
+    counter = S._Counter()
+    blocks["map"](counter, own, data, off, np.zeros(0, np.uint64))
+    least, size, _ = counter.totals()
+    hot = np.sort(least.view(np.uint64)[size > 20 * np.median(size)])
+    assert len(hot) and size[size > 20 * np.median(size)].sum() > 0.05 * size.sum()
+    after = S._Counter()
+    blocks["map"](after, own, data, off, hot)
+    assert after.totals()[1].max() < size.max() / 20
+    monkeypatch.setattr(S, "hot_minimisers", lambda *a: hot)
+    dedup, brute, n = (substring_dedup, brute_words, 4) if words else (suffix_dedup, brute_bytes, 5)
+    got = [tuple(r)[:n] for r in dedup(df).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows, 35 if words else 50), key=key)
+
+
+def test_hot_minimisers_are_found(spark, monkeypatch):
+    from tidemark.llm import superkmer as S
+    from tidemark.llm.substring_dedup import removed_ranges
+
+    monkeypatch.setattr(S, "BUCKET_BYTES", 1 << 12)
+    caught = {}
+    monkeypatch.setattr(S, "hot_minimisers", lambda *a, f=S.hot_minimisers: caught.setdefault("hot", f(*a)))
+    rnd = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(30))
+    word = lambda: f"{rnd.randrange(10**9)}"
+    rows = [(i, " ".join([*(word() for _ in range(30)), common, *(word() for _ in range(30))]), "x", 1, 2) for i in range(200)]
+    from tidemark.llm.common import keyed
+
+    removed_ranges(keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text"))
+    assert 0 < len(caught["hot"]) <= 23

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,33 +28,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's
-    checkpoint folder, or (in tests, where neither is set) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint
+    folder. Only a local session, as in tests, may do without: it gets a temporary one."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not said:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         said = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(said)
     return said.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run meanwhile remove their shuffle files when they end, on all executors."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: the lineage ends here, and
-    a lost executor costs no more than the stages after it."""
+    """Write df as a table in the shared folder and read it again: the lineage ends here, a lost
+    executor costs no more than the stages after it, and the shuffle files of df's plan go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):  # the first round tells the JVM what Python has dropped
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -69,13 +77,14 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, th, text: th (64 bits of the text) tells rows apart that share an id, null ids too: of
-    ten million such rows, two differ and agree in th with a probability of 3 in a million. Operators whose
-    decision depends on id and text alone give rows that agree in both the same result."""
+    """did, th, tl, text: th and tl (128 bits of the text) tell rows apart that share an id, null
+    ids too. Operators whose decision depends on id and text alone give rows that agree in all
+    three the same result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
         F.xxhash64(text).alias("th"),
+        F.xxhash64(F.lit(1), text).alias("tl"),
         text.alias("text"),
     )
 
@@ -145,19 +154,24 @@ def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows_each: int = 1_000_000) -> DataFrame:
-    """Add name: 0, 1, 2 ... without gaps within each value of keys, by order where possible.
+def with_row(df: DataFrame) -> DataFrame:
+    """df with _row, a long that no two rows share. Write the result before it is read twice."""
+    return df.withColumn("_row", F.monotonically_increasing_id())
 
-    A key may hold any share of the rows: each is split into parts by a hash of the order
-    columns, parts are counted, and a row's number is its place in its part plus the sizes of
-    the parts before. df should be a written table, since it is read twice. Rows that agree in
-    keys and order get their numbers in any order. Keys are not null."""
-    spark = df.sparkSession
+
+def numbered(df: DataFrame, keys: list[str], name: str, rows_each: int = 1_000_000) -> DataFrame:
+    """Add name: 0, 1, 2 ... without gaps within each value of keys. df is a written table that has
+    _row (see with_row), which goes.
+
+    A key may hold any share of the rows, and rows may be equal in all else: each key is split into
+    parts by a hash of _row, parts are counted, and a row's number is its place in its part plus
+    the sizes of the parts before. Keys are not null."""
     parts = max(32, -(-df.count() // rows_each))
-    split = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    split = df.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int"))
     sizes = materialize(split.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size")), "sizes")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
-    place = Window.partitionBy(*keys, "_part").orderBy(*order)
+    place = Window.partitionBy(*keys, "_part").orderBy("_row")
     rows = split.withColumn("_place", F.row_number().over(place) - 1)
-    return rows.join(base, [*keys, "_part"]).select(*df.columns, (F.col("_place") + F.col("_base")).cast("long").alias(name))
+    own = [c for c in df.columns if c != "_row"]
+    return rows.join(base, [*keys, "_part"]).select(*own, (F.col("_place") + F.col("_base")).cast("long").alias(name))

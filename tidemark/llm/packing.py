@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, numbered, row_blocks, text_buffer, word_array, word_spans
+from tidemark.llm.common import materialize, numbered, row_blocks, text_buffer, with_row, word_array, word_spans
 
 TOKENS, END = 4096, 1
 BLOCK_BYTES = 4 << 20
@@ -202,12 +202,12 @@ def plan(counts: dict[int, int], capacity: int, documents: int, attention: int,
 def pack(parts: DataFrame, capacity: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """parts (see pieces) with sequence_id and offset."""
     spark = parts.sparkSession
-    parts = materialize(parts, "pieces")
+    parts = materialize(with_row(parts), "pieces")
     counts = dict(parts.groupBy("length").count().collect())  # at most one row for each length
     found = plan(counts, capacity, documents, attention, weights)
     # a few rows for each length, whatever the input: small enough to broadcast
     steps = spark.createDataFrame(found, "length long, low long, high long, bin long, offset long")
-    rows = numbered(parts, ["length"], ["doc_id", "piece", "ids_crc32"], "nth")
+    rows = numbered(parts, ["length"], "nth")
     on = (rows["length"] == steps["length"]) & (rows["nth"] >= steps["low"]) & (rows["nth"] < steps["high"])
     placed = rows.join(F.broadcast(steps), on)
     return placed.select("doc_id", "piece", "start", rows["length"], "ids_crc32", (F.col("bin") + F.col("nth") - F.col("low")).alias("sequence_id"), "offset")

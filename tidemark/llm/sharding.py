@@ -2,7 +2,9 @@
 takes rows only into itself.
 
 The key is the row's id (null: a key of its own), so rows with one id share a shard. Null text
-has size 16 and the checksum of no bytes. slot numbers a shard's rows from 0 without gaps."""
+has size 16 and the checksum of no bytes. slot numbers a shard's rows from 0 without gaps, in any
+order. Very long texts, empty tables and columns with clashing names need nothing special: only
+the id and the text are read, and text never leaves the scan."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, materialize, numbered
+from tidemark.llm.common import NULL_ID, materialize, numbered, with_row
 
 SHARDS = 40
 
@@ -50,5 +52,5 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
         shard_of(own, shards).alias("shard"),
         shard_of(own, shards + 1).alias("grown_shard"),
     )
-    rows = numbered(materialize(rows, "sharded"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    rows = numbered(materialize(with_row(rows), "sharded"), ["shard"], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -68,31 +68,31 @@ def _twice(ids: np.ndarray, at: np.ndarray, h: np.ndarray, k: int) -> tuple[np.n
 
 
 def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """did, th, lo, hi: word ranges to remove from rows of common.keyed; ranges may overlap."""
+    """did, th, tl, lo, hi: word ranges to remove from rows of common.keyed; ranges may overlap."""
 
-    def block(packer, did, th, data, off):
+    def block(packer, row, data, off, hot):
         start, end, first, ids, wh = _tokens(data, off)
         at, h, least = S.windows(wh, first, k, m)
         if not len(at):
             return
         again, later = _twice(ids, at, h, k)
         if again.any():
-            row, lo, hi = S.row_ranges(S.covered(len(ids), at[again], at[again] + k), first)
-            packer.add_ranges(did[row], th[row], lo, hi)
-        at, least = at[~later], least[~later]
+            own, lo, hi = S.row_ranges(S.covered(len(ids), at[again], at[again] + k), first)
+            packer.add_ranges(tuple(c[own] for c in row), lo, hi)
+        at, least = at[~later], S.spread(h[~later], least[~later], hot)
         head, count = S.cut(at, least)
         a, b = at[head], at[head] + count + k - 2
-        row = np.searchsorted(first, a, "right") - 1
-        packer.add(least[head], did[row], th[row], a - first[row], count, data.tobytes(), start[a], end[b])
+        own = np.searchsorted(first, a, "right") - 1
+        packer.add(least[head], tuple(c[own] for c in row), a - first[own], count, data.tobytes(), start[a], end[b])
 
-    def bucket(did, th, begin, count, length, text):
+    def bucket(did, th, tl, begin, count, length, text):
         off = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=off[1:])
         _, _, first, ids, wh = _tokens(np.frombuffer(text, np.uint8), off)
         at, h, _ = S.windows(wh, first, k, None)
         again, _ = _twice(ids, at, h, k)
         row, lo, hi = S.row_ranges(S.covered(len(ids), at[again], at[again] + k), first)
-        return did[row], th[row], begin[row] + lo, begin[row] + hi
+        return did[row], th[row], tl[row], begin[row] + lo, begin[row] + hi
 
     return S.removal_ranges(docs, block, bucket, BLOCK_BYTES)
 
@@ -119,7 +119,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 kept.append(text.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["did", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    rows = S.with_ranges(docs, removed_ranges(docs, k, m)).mapInArrow(apply, "did long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    rows = S.with_ranges(docs, removed_ranges(docs, k, m), apply, "did long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return rows.select(real_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 

@@ -129,20 +129,20 @@ def maximal_repeats(data: np.ndarray, off: np.ndarray, k: int):
 
 
 def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """did, th, lo, hi: from lo to hi (exclusive), each place in a row of common.keyed begins a
+    """did, th, tl, lo, hi: from lo to hi (exclusive), each place in a row of common.keyed begins a
     k-byte string that an earlier row has. Of what a row repeats, one occurrence is there at least."""
 
-    def block(packer, did, th, data, off):
+    def block(packer, key, data, off, hot):
         # very long rows go in pieces that overlap by k - 1 bytes
-        if len(data) > BLOCK_BYTES and len(did) == 1:
+        if len(data) > BLOCK_BYTES and len(off) == 2:
             cuts = np.arange(0, max(1, len(data) - k + 1), BLOCK_BYTES)
             for c in cuts.tolist():
                 piece = data[c : c + BLOCK_BYTES + k - 1]
-                _block(packer, did, th, piece, np.array([0, len(piece)]), c)
+                _block(packer, key, piece, np.array([0, len(piece)]), c, hot)
         else:
-            _block(packer, did, th, data, off, 0)
+            _block(packer, key, data, off, 0, hot)
 
-    def _block(packer, did, th, data, off, shift):
+    def _block(packer, key, data, off, shift, hot):
         at, h, least = S.windows(_TOKEN[data], off, k, m)
         if not len(at):
             return
@@ -150,9 +150,10 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
         which = S.repeated(h)
         if len(which):
             row = np.searchsorted(off, at[which], "right") - 1
-            order = np.lexsort((at[which], _rank(did)[row], h[which]))
+            ranks = _rank(key[0])
+            order = np.lexsort((at[which], ranks[row], h[which]))
             which, row = which[order], row[order]
-            rank, head = _rank(did)[row], S.group_heads(h[which])
+            rank, head = ranks[row], S.group_heads(h[which])
             ok = _equal(data, at[which], at[which[head]], k)
             gone = which[ok & (rank > rank[head])]
             emit[gone] = False
@@ -162,14 +163,14 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
                 mask = np.zeros(len(data), bool)
                 mask[at[gone]] = True
                 own, lo, hi = S.row_ranges(mask, off)
-                packer.add_ranges(did[own], th[own], lo + shift, hi + shift)
-        at, least = at[emit], least[emit]
+                packer.add_ranges(tuple(c[own] for c in key), lo + shift, hi + shift)
+        at, least = at[emit], S.spread(h[emit], least[emit], hot)
         head, count = S.cut(at, least)
         a = at[head]
         row = np.searchsorted(off, a, "right") - 1
-        packer.add(least[head], did[row], th[row], a - off[row] + shift, count, data.tobytes(), a, a + count + k - 1)
+        packer.add(least[head], tuple(c[row] for c in key), a - off[row] + shift, count, data.tobytes(), a, a + count + k - 1)
 
-    def bucket(did, th, begin, count, length, text):
+    def bucket(did, th, tl, begin, count, length, text):
         off = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=off[1:])
         data, rank = np.frombuffer(text, np.uint8), _rank(did)
@@ -181,9 +182,9 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
             his.append(late + shared - k + 1)
         if not los:
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none, none, none, none, none
         row, lo, hi = S.row_ranges(S.covered(len(data), np.concatenate(los), np.concatenate(his)), off)
-        return did[row], th[row], begin[row] + lo, begin[row] + hi
+        return did[row], th[row], tl[row], begin[row] + lo, begin[row] + hi
 
     return S.removal_ranges(docs, block, bucket, BLOCK_BYTES, level=6)
 
@@ -222,5 +223,5 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = S.with_ranges(docs, removed_ranges(docs, k, m)).mapInArrow(apply, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = S.with_ranges(docs, removed_ranges(docs, k, m), apply, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return rows.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

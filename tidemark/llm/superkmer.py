@@ -11,9 +11,10 @@ import functools
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, mix, shuffle_partitions
+from tidemark.llm.common import input_bytes, materialize, mix, row_blocks, runs, shuffle_partitions, shuffles_removed, text_buffer
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -21,6 +22,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 BUCKET_BYTES, SUB = 16 << 20, 16
 #: Windows in one packed string at most.
 LONGEST = 64
+#: Hot minimisers are counted over a sample of so many bytes, where they occur LEAST_SEEN times.
+SAMPLE_BYTES, LEAST_SEEN, MOST_HOT = 16 << 20, 16, 1 << 20
 #: Shuffle partitions at most; beyond, a partition holds several buckets, one after another.
 MOST_PARTITIONS = 20_000
 
@@ -117,14 +120,79 @@ def cut(at: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate((first, [len(at)])))
 
 
-def sizes(df: DataFrame) -> tuple[int, int]:
-    """(buckets, shuffle partitions) for the text in df; buckets are a multiple of partitions."""
-    n, known = shuffle_partitions(df.sparkSession), input_bytes(df)
-    want = max(n, -(-(known or 0) * 5 // BUCKET_BYTES))
+def text_bytes(df: DataFrame) -> int:
+    """What the planner knows of the size of df's text; where it knows nothing, the text is measured."""
+    known = input_bytes(df)
+    if known is None:
+        known = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return known
+
+
+def sizes(df: DataFrame, size: int) -> tuple[int, int]:
+    """(buckets, shuffle partitions) for size bytes of text; buckets are a multiple of partitions."""
+    want = max(shuffle_partitions(df.sparkSession), -(-size * 5 // BUCKET_BYTES))
     parts = min(want, MOST_PARTITIONS)
     return parts * -(-want // parts), parts
 
 
+def is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values of x are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def spread(whole: np.ndarray, least: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What names each window's bucket: its minimiser or, where that is hot, the window itself. So
+    windows that share no more than a frequent minimiser scatter over all buckets."""
+    return np.where(is_in(least, hot), whole, least) if len(hot) else least
+
+
+def hot_minimisers(docs: DataFrame, size: int, map_block, block_bytes: int) -> np.ndarray:
+    """Minimisers that would fill a good part of a bucket by themselves, ascending.
+
+    Counted over the rows of a sample of about SAMPLE_BYTES, chosen by hash; MOST_HOT at most, the
+    most frequent. This decides where windows meet, never which are found."""
+    every = max(1, size // SAMPLE_BYTES)
+    some = docs.where(F.pmod("th", F.lit(every)) == 0).select("did", "th", "tl", "text")
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            did, th, tl = (batch.column(i).to_numpy() for i in range(3))
+            data, off = text_buffer(batch.column(3))
+            for a, b in row_blocks(off, block_bytes):
+                counter = _Counter()
+                map_block(counter, (did[a:b], th[a:b], tl[a:b]), data[off[a] : off[b]], off[a : b + 1] - off[a], np.zeros(0, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in counter.totals()], ["least", "bytes", "n"])
+
+    many = F.sum("bytes").alias("bytes"), F.sum("n").alias("n")
+    got = some.mapInArrow(scan, "least long, bytes long, n long").groupBy("least").agg(*many)
+    got = got.where((F.col("bytes") * every > BUCKET_BYTES // 4) & (F.col("n") >= LEAST_SEEN))
+    with shuffles_removed(docs.sparkSession):
+        found = got.orderBy(F.desc("bytes"), "least").limit(MOST_HOT).select("least").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+class _Counter:
+    """Takes super-k-mers as a Packer does, and keeps how much each minimiser has."""
+
+    def __init__(self):
+        self.least, self.bytes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def add(self, least, row, start, count, raw, lo, hi) -> None:
+        self.least.append(least)
+        self.bytes.append(hi - lo)
+
+    def add_ranges(self, *arrays) -> None:
+        """Ranges reach no bucket."""
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value, at, n = np.unique(np.concatenate(self.least), return_inverse=True, return_counts=True)
+        return value.view(np.int64), np.bincount(at, np.concatenate(self.bytes), len(value)).astype(np.int64), n
+
+
 class Packer:
     """Collects super-k-mers and writes them out as one compressed blob for each bucket."""
 
@@ -135,28 +203,29 @@ class Packer:
         self.ranges: list[tuple[np.ndarray, ...]] = []
         self.zip = zstandard.ZstdCompressor(level=level)
 
-    def add(self, least: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, count: np.ndarray, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> None:
+    def add(self, least: np.ndarray, row: tuple[np.ndarray, ...], start: np.ndarray, count: np.ndarray, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> None:
+        """row is (did, th, tl) of each super-k-mer."""
         strings = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         h = mix(least.copy())
         place = (h % np.uint64(self.buckets)).astype(np.int64) * SUB + (h >> np.uint64(40)).astype(np.int64) % SUB
-        self.held.append((place, did, th, start.astype(np.int32), count.astype(np.int16), (hi - lo - count).astype(np.int32), strings))
-        self.bytes += int((hi - lo).sum()) + 64 * len(lo)
+        self.held.append((place, *row, start.astype(np.int32), count.astype(np.int16), (hi - lo - count).astype(np.int32), strings))
+        self.bytes += int((hi - lo).sum()) + 72 * len(lo)
 
-    def add_ranges(self, *arrays: np.ndarray) -> None:
-        if len(arrays[0]):
-            self.ranges.append(arrays)
-            self.bytes += 24 * len(arrays[0])
+    def add_ranges(self, row: tuple[np.ndarray, ...], lo: np.ndarray, hi: np.ndarray) -> None:
+        if len(lo):
+            self.ranges.append((*row, lo, hi))
+            self.bytes += 32 * len(lo)
 
     def flush(self):
         """Rows (part, bucket, n, blob); bucket -1 carries finished ranges."""
         if self.ranges:
-            did, th, lo, hi = (np.concatenate(x) for x in zip(*self.ranges, strict=True))
-            blob = b"".join((did.astype(np.int64).tobytes(), th.astype(np.int64).tobytes(), lo.astype(np.int32).tobytes(), hi.astype(np.int32).tobytes()))
+            cols = [np.concatenate(x) for x in zip(*self.ranges, strict=True)]
+            blob = b"".join(c.astype(kind).tobytes() for c, kind in zip(cols, _RANGE, strict=True))
             self.turn += 1
-            yield (int(did[0]) + 7919 * self.turn) % self.parts, -1, len(did), self.zip.compress(blob)
+            yield (int(cols[0][0]) + 7919 * self.turn) % self.parts, -1, len(cols[0]), self.zip.compress(blob)
         if self.held:
-            cols = [np.concatenate([x[i] for x in self.held]) for i in range(6)]
-            strings = [s for x in self.held for s in x[6]]
+            cols = [np.concatenate([x[i] for x in self.held]) for i in range(len(_STRING))]
+            strings = [s for x in self.held for s in x[-1]]
             self.held = []
             order = np.argsort(cols[0], kind="stable")
             cols = [c[order] for c in cols]
@@ -171,15 +240,25 @@ class Packer:
         self.held, self.ranges, self.bytes = [], [], 0
 
 
-def unpack(n: int, blob: bytes):
-    """The parts of a bucket's blob: (part, columns, text), in order of part."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+#: Types of a packed string's columns (part, row key, start, windows, length) and of a range's.
+_STRING = (np.int8, np.int64, np.int64, np.int64, np.int32, np.int16, np.int32)
+_RANGE = (np.int64, np.int64, np.int64, np.int32, np.int32)
+
+
+def _columns(raw: bytes, n: int, kinds: tuple) -> tuple[list[np.ndarray], int]:
     cols, at = [], 0
-    for kind in (np.int8, np.int64, np.int64, np.int32, np.int16, np.int32):
+    for kind in kinds:
         cols.append(np.frombuffer(raw, kind, n, at).copy())
         at += n * np.dtype(kind).itemsize
-    cols[5] = cols[5].astype(np.int64) + cols[4]  # the length came as what it has beyond the count
-    ends = at + np.concatenate(([0], np.cumsum(cols[5])))
+    return cols, at
+
+
+def unpack(n: int, blob: bytes):
+    """The parts of a bucket's blob: (part, columns, text), in order of part."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    cols, at = _columns(raw, n, _STRING)
+    cols[6] = cols[6].astype(np.int64) + cols[5]  # the length came as what it has beyond the count
+    ends = at + np.concatenate(([0], np.cumsum(cols[6])))
     edge = np.searchsorted(cols[0], np.arange(SUB + 1))
     for sub, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
         if a < b:
@@ -187,24 +266,26 @@ def unpack(n: int, blob: bytes):
 
 
 def unpack_ranges(n: int, blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    return [*(np.frombuffer(raw, np.int64, n, i * n) for i in (0, 8)), *(np.frombuffer(raw, np.int32, n, i * n) for i in (16, 20))]
+    return _columns(zstandard.ZstdDecompressor().decompress(blob), n, _RANGE)[0]
 
 
-def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, level: int = 3) -> DataFrame:
-    """did, th, lo, hi: the token ranges to remove from each row of docs (see common.keyed).
+RANGES = "did long, th long, tl long, lo int, hi int"
 
-    map_block(packer, did, th, data, off) adds the super-k-mers of some rows, and what it could
-    settle among those rows. bucket_rows(did, th, start, count, length, text) settles a bucket
-    and returns arrays did, th, lo, hi."""
-    from tidemark.llm.common import row_blocks, text_buffer
 
-    buckets, parts = sizes(docs)
+def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, level: int = 3) -> DataFrame:
+    """did, th, tl, lo, hi: the token ranges to remove from each row of docs (see common.keyed).
+
+    map_block(packer, row, data, off, hot) adds the super-k-mers of some rows, whose keys are row =
+    (did, th, tl), and what it could settle among those rows. bucket_rows(did, th, tl, start, count,
+    length, text) settles a bucket and returns arrays did, th, tl, lo, hi."""
+    size = text_bytes(docs)
+    buckets, parts = sizes(docs, size)
+    sent = docs.sparkSession.sparkContext.broadcast(hot_minimisers(docs, size, map_block, block_bytes))
 
     def scan(batches):
         import pyarrow as pa
 
-        packer = Packer(buckets, parts, level)
+        packer, hot = Packer(buckets, parts, level), sent.value
 
         def rows():
             got = list(packer.flush())
@@ -212,10 +293,10 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["part", "bucket", "n", "blob"])
 
         for batch in batches:
-            did, th = (batch.column(i).to_numpy() for i in (0, 1))
-            data, off = text_buffer(batch.column(2))
+            row = [batch.column(i).to_numpy() for i in range(3)]
+            data, off = text_buffer(batch.column(3))
             for a, b in row_blocks(off, block_bytes):
-                map_block(packer, did[a:b], th[a:b], data[off[a] : off[b]], off[a : b + 1] - off[a])
+                map_block(packer, tuple(c[a:b] for c in row), data[off[a] : off[b]], off[a : b + 1] - off[a], hot)
                 if packer.bytes >= packer.LIMIT:
                     yield rows()
         yield rows()
@@ -223,8 +304,8 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
     def settle(batches):
         import pyarrow as pa
 
-        def out(did, th, lo, hi):
-            return pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(th, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["did", "th", "lo", "hi"])
+        def out(*cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.from_numpy_dtype(kind)) for c, kind in zip(cols, _RANGE, strict=True)], ["did", "th", "tl", "lo", "hi"])
 
         def closed(held):
             for sub in sorted(held):
@@ -245,22 +326,40 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
                     held.setdefault(sub, []).append((cols, text))
         yield from closed(held)
 
-    packed = docs.select("did", "th", "text").mapInArrow(scan, "part int, bucket int, n int, blob binary")
+    packed = docs.select("did", "th", "tl", "text").mapInArrow(scan, "part int, bucket int, n int, blob binary")
     dealt = packed.repartitionById(parts, packed["part"]).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, "did long, th long, lo int, hi int")
+    return dealt.mapInArrow(settle, RANGES)
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """did, text, ranges: docs with the list of their (lo, hi), null where there is none.
+KEY = ["did", "th", "tl"]
+#: Bits of th that tell which rows may have ranges: 2 ** FILTER of them, in words of 64.
+FILTER = 24
 
-    The ranges are written first, so that the packed strings' shuffle files can go before the
-    documents themselves are shuffled."""
-    from pyspark.sql import functions as F
 
-    from tidemark.llm.common import materialize
+def _word() -> Column:
+    return F.shiftrightunsigned("th", 64 - FILTER + 6).cast("int")
 
-    lists = materialize(ranges.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    return docs.join(lists, ["did", "th"], "left").select("did", "text", "ranges")
+
+def _bit() -> Column:
+    return F.shiftrightunsigned("th", 64 - FILTER).bitwiseAND(F.lit(63)).cast("int")
+
+
+def with_ranges(docs: DataFrame, ranges: DataFrame, apply, schema: str) -> DataFrame:
+    """apply (a mapInArrow function that gives schema) over did, text, ranges: the rows of docs with
+    the set of their (lo, hi), null where there is none.
+
+    The ranges are written first, so that the packed strings' shuffle files go before documents
+    are shuffled; and only rows that may have ranges are: the others fail a filter of 2 ** FILTER
+    bits, which is broadcast (2 ** FILTER / 64 rows at most, whatever the input)."""
+    lists = materialize(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit())
+    some = materialize(lists.groupBy(_word().alias("word")).agg(F.bit_or(one).alias("bits")), "filter")
+    marked = docs.join(F.broadcast(some), _word() == some["word"], "left")
+    maybe = F.coalesce(F.call_function("shiftrightunsigned", "bits", _bit()).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+    few = marked.where(maybe).select(*KEY, "text").join(lists, KEY, "left").select("did", "text", "ranges")
+    none = F.lit(None).cast("array<struct<lo:int,hi:int>>")
+    rest = marked.where(~maybe).select("did", "text", none.alias("ranges"))
+    return few.mapInArrow(apply, schema).unionAll(rest.mapInArrow(apply, schema))
 
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -273,8 +372,6 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def row_ranges(cover: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of True in cover, cut at the rows' borders: row, start and end within the row."""
-    from tidemark.llm.common import runs
-
     lo, hi = runs(cover)
     row = np.searchsorted(off, lo, "right") - 1
     while len(bad := np.flatnonzero(hi > off[row + 1])):  # a run that goes on into the next row
