@@ -77,14 +77,15 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """did, th, tl, text: th and tl (128 bits of the text) tell rows apart that share an id, null
-    ids too. Operators whose decision depends on id and text alone give rows that agree in all
-    three the same result."""
+    """did, th, tl, text: th and tl (95 bits of the text) tell rows apart that share an id, null ids
+    too: of 10 ** 12 such rows, two differ and agree with a probability of 13 in a million.
+    Operators whose decision depends on id and text alone give rows that agree in all three the
+    same result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
         F.xxhash64(text).alias("th"),
-        F.xxhash64(F.lit(1), text).alias("tl"),
+        F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tl"),
         text.alias("text"),
     )
 

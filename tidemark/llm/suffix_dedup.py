@@ -22,10 +22,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm import superkmer as S
-from tidemark.llm.common import NULL_ID, keyed, mix, real_id, text_buffer
+from tidemark.llm.common import NULL_ID, keyed, mix, real_id, row_blocks, text_buffer
 
 WINDOW, MINIMISER = 50, 12
 BLOCK_BYTES = 1 << 20
@@ -189,17 +190,22 @@ def removed_ranges(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER) -> Data
     return S.removal_ranges(docs, block, bucket, BLOCK_BYTES, level=6)
 
 
-def _bytes_out(own: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the bytes to remove: the windows that begin in [lo, hi), and those equal to one."""
-    out = S.covered(len(own) - k + 1, lo, hi)
-    _, h, _ = S.windows(_TOKEN[own], np.array([0, len(own)]), k, None)
-    which = S.repeated(h)
+def removed_bytes(data: np.ndarray, off: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the bytes of rows data[off[i]:off[i+1]] to remove: windows that begin in some
+    [lo, hi), places in data, and those windows of the same row that equal one."""
+    out = S.covered(len(data), lo, hi)
+    at, h, _ = S.windows(_TOKEN[data], off, k, None)
+    row = np.searchsorted(off, at, "right") - 1
+    which = S.repeated(h ^ mix(row.astype(np.uint64) + np.uint64(1)))
     if len(which):
-        which = which[np.lexsort((~out[which], h[which]))]  # those that go come first
-        head = S.group_heads(h[which])
-        out[which[out[which[head]] & _equal(own, which, which[head], k)]] = True
-    at = np.flatnonzero(out)
-    return S.covered(len(own), at, at + k)
+        of, h, row = at[which], h[which], row[which]
+        order = np.lexsort((~out[of], h, row))  # those that go come first
+        of, h, row = of[order], h[order], row[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+        head = of[np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))]
+        out[of[out[head] & _equal(data, of, head, k)]] = True
+    start = np.flatnonzero(out)
+    return S.covered(len(data), start, start + k)
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, m: int = MINIMISER) -> DataFrame:
@@ -209,19 +215,26 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def apply(batches):
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            cols = [[], [], [], [], []]
-            for i, r in enumerate(batch.column(2)):
-                own = data[off[i] : off[i + 1]]
-                n, spans = len(own), 0
-                if r.is_valid:
-                    mask = _bytes_out(own, *(r.values.field(j).to_numpy() for j in (0, 1)), k)
-                    spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-                    own = own[~mask]
-                kept = own.tobytes()
-                for c, v in zip(cols, (n, n - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    rows = S.with_ranges(docs, removed_ranges(docs, k, m), apply, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            for a, b in row_blocks(off, BLOCK_BYTES):
+                own, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                lists = batch.column(2).slice(a, b - a)
+                gone = np.zeros(len(own), bool)
+                some = lists.drop_null().flatten()
+                if len(some):
+                    row = np.repeat(np.arange(b - a), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                    lo, hi = (some.field(j).to_numpy() + o[row] for j in (0, 1))
+                    gone = removed_bytes(own, o, lo, hi, k)
+                total = np.concatenate(([0], np.cumsum(gone)))
+                begins = np.concatenate((gone[:1], gone[1:] & ~gone[:-1]))
+                edge = o[:-1][np.diff(o) > 0]
+                begins[edge] = gone[edge]
+                spans = np.concatenate(([0], np.cumsum(begins)))
+                kept, at = own[~gone].tobytes(), (o - total[o]).tolist()
+                parts = [kept[x:y] for x, y in zip(at, at[1:], strict=False)]
+                sha = [hashlib.sha256(x).hexdigest() for x in parts]
+                cols = (pa.array(np.diff(o)), pa.array(np.diff(total[o])), pa.array(np.diff(spans[o])), pa.array(sha, pa.string()), pa.array(parts, pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], ["did", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    rows = S.with_ranges(docs, removed_ranges(docs, k, m), apply, schema)
     return rows.select(real_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -241,8 +241,8 @@ class Packer:
 
 
 #: Types of a packed string's columns (part, row key, start, windows, length) and of a range's.
-_STRING = (np.int8, np.int64, np.int64, np.int64, np.int32, np.int16, np.int32)
-_RANGE = (np.int64, np.int64, np.int64, np.int32, np.int32)
+_STRING = (np.int8, np.int64, np.int64, np.int32, np.int32, np.int16, np.int32)
+_RANGE = (np.int64, np.int64, np.int32, np.int32, np.int32)
 
 
 def _columns(raw: bytes, n: int, kinds: tuple) -> tuple[list[np.ndarray], int]:
@@ -269,7 +269,7 @@ def unpack_ranges(n: int, blob: bytes) -> list[np.ndarray]:
     return _columns(zstandard.ZstdDecompressor().decompress(blob), n, _RANGE)[0]
 
 
-RANGES = "did long, th long, tl long, lo int, hi int"
+RANGES = "did long, th long, tl int, lo int, hi int"
 
 
 def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, level: int = 3) -> DataFrame:
