@@ -94,6 +94,22 @@ def real_id(col: str = "did") -> Column:
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col))
 
 
+#: Bits of a hash that tell which rows a filter lets through: 2 ** FILTER of them, in words of 64.
+FILTER = 24
+
+
+def may_match(df: DataFrame, keys: DataFrame, hashed: str) -> DataFrame:
+    """df with _maybe: false only for rows whose hash (a long in column hashed, of 64 good bits) no
+    row of the written table keys has. The filter that decides is broadcast; it has 2 ** FILTER
+    bits, so 2 ** FILTER / 64 rows at most, whatever the input."""
+    word = F.shiftrightunsigned(hashed, 64 - FILTER + 6).cast("int")
+    bit = F.shiftrightunsigned(hashed, 64 - FILTER).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = materialize(keys.groupBy(word.alias("_word")).agg(F.bit_or(one).alias("_bits")), "filter")
+    found = F.coalesce(F.call_function("shiftrightunsigned", "_bits", bit).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+    return df.join(F.broadcast(words), word == words["_word"], "left").select(*df.columns, found.alias("_maybe"))
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, and where each row begins (one more entry than rows)."""
     if isinstance(col, pa.ChunkedArray):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import superkmer as S
 from tidemark.llm.common import LOWER, row_blocks, text_buffer, word_array, word_spans
+from tidemark.llm.simhash import bit_counts, majority
 
 SHINGLE, LEAST, BLOCK_BYTES, ITEM_BYTES = 5, 0.8, 2 << 20, 16 << 20
 _NEAR = [np.array([x for x in range(256) if x.bit_count() <= r]) for r in range(9)]
@@ -41,8 +42,7 @@ def _hashes(data: np.ndarray, off: np.ndarray):
 
 
 def simhash(h: np.ndarray) -> int:
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+    return majority(bit_counts(h), len(h))
 
 
 class Items:

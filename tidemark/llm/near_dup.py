@@ -3,16 +3,21 @@
 A text's A-Z are lower-cased, its words ``[^\\x20\\x09-\\x0D]+`` are cut into shingles of five words
 (fewer words: the whole sequence); similarity is the Jaccard similarity of the distinct ones.
 
-Nothing is estimated. Shingles get one order for all texts: by how often a sample of texts holds
-them, then by hash. Of n shingles in that order the first n - ceil(0.8 n) + 1 are the text's
-prefix, and two sets with similarity 0.8 have a shingle of their prefixes in common (the sample
-changes how many candidates there are, never which pairs are found). Texts that share a prefix
-shingle form a bucket. First each bucket's texts are compared with that one of them which is in
-most buckets; then those that no links connect yet are compared pair by pair, in tiles where a bucket is large. So a group of many
+SimHash fingerprints of the sets are compared first, in tiles (see simhash): those within three
+bits are candidates. A similarity of 0.8 goes with about ten differing bits, a radius at which
+tiles prune nothing, so fingerprints alone miss most such pairs. The rest come from an exact join.
+Shingles get one order for all texts: by how often a sample of texts holds them, then by hash. Of
+n shingles in that order the first n - ceil(0.8 n) + 1 are the text's prefix, and two sets with
+similarity 0.8 have a shingle of their prefixes in common (the sample changes how many candidates
+there are, never which pairs are found). Texts that share a prefix shingle form a bucket. Each
+bucket's texts are compared with that one of them which is in most buckets; then those that no
+links connect yet are compared pair by pair, in tiles where a bucket is large. So a group of many
 copies costs a few comparisons each, and all pairs that matter to the components are still tried.
+Every candidate is verified by its sets.
 
 A node is a set of shingles by a 64-bit hash (shingles are 64-bit hashes too). Null text counts as
-empty; all texts without words are one node."""
+empty; all texts without words are one node. Rows that repeat are one node. An empty table has no
+links."""
 
 from __future__ import annotations
 
@@ -22,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.common import materialize, row_blocks, text_buffer
 from tidemark.llm.decontaminate import _hashes
 from tidemark.llm.simhash import components, spanning
@@ -71,7 +77,8 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys (longs), node, prefix and own (the set): one row for each row of rows, which has text."""
+    """keys (longs), node, fp (the set's fingerprint), prefix and own (the set): one row for each row
+    of rows, which has text."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
     def lists(parts):
@@ -87,10 +94,11 @@ def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
                 part = batch.slice(a, 1000)
                 own = list(_rows(part.column(0)))
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
+                fp = np.array([simhash.majority(simhash.bit_counts(s), len(s)) for s in own], np.uint64).view(np.int64)
                 first = [prefix(s, frequent, rank) for s in own]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(node), lists(first), lists(own)], [*keys, "node", "prefix", "own"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(node), pa.array(fp), lists(first), lists(own)], [*keys, "node", "fp", "prefix", "own"])
 
-    schema = ", ".join(f"{c} long" for c in (*keys, "node")) + ", prefix array<long>, own array<long>"
+    schema = ", ".join(f"{c} long" for c in (*keys, "node", "fp")) + ", prefix array<long>, own array<long>"
     return rows.select(F.col("text").cast("string").alias("text"), *keys).mapInArrow(scan, schema)
 
 
@@ -98,8 +106,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u > v: those of the pairs (a, b) that are alike. One a may be in any number of pairs."""
     pairs = materialize(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("k")).where("k > 1")
-    left = sets.join(F.broadcast(many.withColumnRenamed("a", "node")), "node", "left").select(F.col("node").alias("a"), F.col("own").alias("left"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
-    salted = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int").alias("salt"))
+    left = sets.join(many.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("a"), F.col("own").alias("left"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
+    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int").alias("salt"))
     both = salted.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
     alike = 9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))
     return materialize(both.where(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
@@ -109,25 +117,45 @@ def _sizes_fit(a: str, b: str):
     return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates a, b: nodes with one fingerprint (a star for each), and the first nodes of
+    fingerprints that the tiled comparison links."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("a")), "prints")
+    same = nodes.join(first, "fp").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    linked = simhash.links(first.select("fp"))
+    end = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("a").alias(name))
+    return same.unionByName(linked.join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b"))
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, times, node, n: nodes that share a shingle of their prefixes. Near copies share many,
+    so shingles with one set of nodes are one bucket, named by one of them, and times counts them.
+    Sets of nodes are told apart by their size and 128 bits, so no shingle's nodes are gathered."""
+    mark = [F.bit_xor(h).alias(name) for name, h in (("h1", F.xxhash64("node")), ("h2", F.xxhash64(F.lit(1), "node")))]
+    tokens = nodes.select("node", "n", F.explode("prefix").alias("x"))
+    shared = materialize(tokens.groupBy("x").agg(F.count(F.lit(1)).alias("size"), *mark).where("size > 1"), "shared")
+    named = shared.groupBy("size", "h1", "h2").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("times")).select("x", "size", "times")
+    each = tokens.join(named, "x")
+    return materialize(each.select(F.col("x").alias("bucket"), "times", "node", "n", "size"), "each")
+
+
 def links(own: DataFrame) -> DataFrame:
     """Edges (u > v) between nodes of a table made by shingled, that connect what is alike."""
-    tokens = own.select("node", F.size("own").alias("n"), F.explode("prefix").alias("x"))
-    shared = tokens.groupBy("x").agg(F.array_sort(F.collect_set(F.struct("node", "n"))).alias("nodes")).where("size(nodes) > 1")
-    # near copies share many shingles: their buckets are often the same
-    shared = materialize(shared.groupBy("nodes").agg(F.count(F.lit(1)).alias("times")), "shared")
-    shared = materialize(shared.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    each = shared.select("bucket", "times", F.explode("nodes").alias("e")).select("bucket", "times", "e.*")
-    each = materialize(each, "each")
+    nodes = materialize(own.select("node", "fp", F.size("own").alias("n"), "prefix", "own").dropDuplicates(["node"]), "nodes")
+    sets = nodes.select("node", "own")
+    each = _buckets(nodes)
     found = each.groupBy("node").agg(F.sum("times").alias("found"))
-    sets = materialize(own.select("node", "own").join(found.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     ranked = materialize(each.join(found, "node"), "ranked")
     middle = ranked.groupBy("bucket").agg(F.max(F.struct("found", "node", "n")).alias("m")).select("bucket", F.col("m.node").alias("a"), F.col("m.n").alias("an"))
-    stars = ranked.join(middle, "bucket").where((F.col("node") != F.col("a")) & _sizes_fit("n", "an")).select("a", F.col("node").alias("b")).distinct()
-    first = _linked(stars, sets)
+    stars = ranked.join(middle, "bucket").where((F.col("node") != F.col("a")) & _sizes_fit("n", "an")).select("a", F.col("node").alias("b"))
+    tried = materialize(stars.unionByName(_by_fingerprint(nodes)).distinct(), "tried")
+    first = _linked(tried, sets)
     roots = components(first)
-    part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    lists = part.groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("e"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    lists = materialize(lists, "lists")
+    part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "size", "node", "n", F.coalesce("root", "node").alias("root"))
+    part = materialize(part, "part")
+    open_ = part.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    part = part.join(open_, "bucket", "left_semi")
+    lists = part.where(F.col("size") <= PAIRED).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("e"))
 
     def cross(batches):
         for batch in batches:
@@ -144,10 +172,10 @@ def links(own: DataFrame) -> DataFrame:
                 vs.append(np.minimum(k[x], k[y]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["a", "b"])
 
-    rest = lists.where(F.size("e") <= PAIRED).select("e").mapInArrow(cross, "a long, b long").distinct()
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    out = first.union(_linked(rest.join(tried, ["a", "b"], "left_anti"), sets))
-    return out.union(_tiled(lists.where(F.size("e") > PAIRED).select("bucket", F.explode("e").alias("e")).select("bucket", "e.node"), sets))
+    rest = lists.select("e").mapInArrow(cross, "a long, b long").distinct()
+    before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = first.union(_linked(rest.join(before, ["a", "b"], "left_anti"), sets))
+    return out.union(_tiled(part.where(F.col("size") > PAIRED).select("bucket", "size", "node"), sets))
 
 
 def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -176,8 +204,7 @@ def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _tiled(large: DataFrame, sets: DataFrame) -> DataFrame:
     """u > v: links within large buckets, whose nodes are compared tile by tile; a pair of tiles
     passes on a spanning forest."""
-    size = large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = large.join(F.broadcast(size), "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = large.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # each tile goes to its pairs with all tiles, itself included
     pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     sent = dealt.select("bucket", "tile", "node", pair).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), (F.col("tile") > F.col("other")).alias("right"), "node")

@@ -17,6 +17,7 @@ id that is not null. Rows that repeat are rows like any other. Other columns are
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,21 +28,48 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_buffer
 
-SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 2048
+SHINGLE, RADIUS, SEED, TILE, FEW, PIECE = 3, 3, 42, 2048, 256, 1 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit values have each bit, the highest bit first."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 14):
+        total += np.unpackbits(h[a : a + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return total
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The value whose bits are those that more than half of n values have."""
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def _word_pieces(text: bytes):
+    """Lists of words, which begin anew after about PIECE bytes."""
+    at = 0
+    while at < len(text):
+        stop = _SPACE.search(text, at + PIECE)
+        end = stop.start() if stop else len(text)
+        yield text[at:end].translate(_LOWER).split()
+        at = end
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    end = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-    size = min(size, len(words))
-    xxh = xxhash.xxh64_intdigest
-    h = np.array([xxh(joined[a : b - 1], SEED) for a, b in zip(end, end[size:], strict=False)], ">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+    xxh, ones, n, held = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for words in _word_pieces(text):
+        held += words
+        if len(held) < size:
+            continue
+        joined = b" ".join(held)
+        end = list(itertools.accumulate((len(w) + 1 for w in held), initial=0))
+        h = np.array([xxh(joined[a : b - 1], SEED) for a, b in zip(end, end[size:], strict=False)], np.uint64)
+        ones, n = ones + bit_counts(h), n + len(h)
+        held = held[len(held) - size + 1 :]
+    if n:
+        return majority(ones, n)
+    return majority(bit_counts(np.array([xxh(b" ".join(held), SEED)], np.uint64)), 1) if held else 0
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
@@ -103,13 +131,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     for shift in (48, 32, 16, 0):
         cell = cell * _SPAN + 3 + F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFF)))
     rows = distinct.select("fp", cell.alias("cell"))
-    # at most 17**4 cells, so their sizes may be broadcast
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    rows = rows.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp")
-    tiles = rows.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps"))
-    left = tiles.select(F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps"), F.explode(F.array(*map(F.lit, _near(radius)))).alias("step"))
-    left = left.withColumn("cell", F.col("own") + F.col("step"))
-    pairs = left.join(tiles, "cell").where((F.col("step") != 0) | (F.col("own_tile") <= F.col("tile")))
+    # at most 17 ** 4 cells, so what there is one row for each may be broadcast
+    cells = materialize(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "cells")
+    dealt = rows.join(F.broadcast(cells), "cell").select("cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("tile"), "fp")
+    tiles = materialize(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    near = cells.select(F.col("cell").alias("own"), F.col("tiles").alias("own_tiles"), F.explode(F.array(*map(F.lit, _near(radius)))).alias("step"))
+    near = near.withColumn("cell", F.col("own") + F.col("step")).join(F.broadcast(cells), "cell")
+    # a tile that meets many others is there in several copies, for FEW of them each
+    copies = near.groupBy("cell").agg(F.ceil(F.sum("own_tiles") / FEW).cast("int").alias("copies"))
+    right = tiles.join(F.broadcast(copies), "cell").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    left = near.select("own", F.explode(F.sequence(F.lit(0), F.col("own_tiles") - 1)).alias("own_tile"), "cell", "tiles", "step")
+    left = left.join(tiles.select(F.col("cell").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps")), ["own", "own_tile"])
+    left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where((F.col("step") != 0) | (F.col("own_tile") <= F.col("tile")))
+    left = left.join(F.broadcast(copies), "cell").withColumn("copy", F.pmod(F.xxhash64("own", "own_tile"), F.col("copies")).cast("int"))
+    pairs = left.join(right.select("cell", "tile", "copy", "fps"), ["cell", "tile", "copy"])
     pairs = pairs.select("own_fps", "fps", ((F.col("step") == 0) & (F.col("own_tile") == F.col("tile"))).alias("same"))
 
     def compare(batches):

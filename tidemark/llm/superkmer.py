@@ -11,10 +11,10 @@ import functools
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, materialize, mix, row_blocks, runs, shuffle_partitions, shuffles_removed, text_buffer
+from tidemark.llm.common import input_bytes, materialize, may_match, mix, row_blocks, runs, shuffle_partitions, shuffles_removed, text_buffer
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -332,33 +332,18 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
 
 
 KEY = ["did", "th", "tl"]
-#: Bits of th that tell which rows may have ranges: 2 ** FILTER of them, in words of 64.
-FILTER = 24
-
-
-def _word() -> Column:
-    return F.shiftrightunsigned("th", 64 - FILTER + 6).cast("int")
-
-
-def _bit() -> Column:
-    return F.shiftrightunsigned("th", 64 - FILTER).bitwiseAND(F.lit(63)).cast("int")
-
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, apply, schema: str) -> DataFrame:
     """apply (a mapInArrow function that gives schema) over did, text, ranges: the rows of docs with
     the set of their (lo, hi), null where there is none.
 
     The ranges are written first, so that the packed strings' shuffle files go before documents
-    are shuffled; and only rows that may have ranges are: the others fail a filter of 2 ** FILTER
-    bits, which is broadcast (2 ** FILTER / 64 rows at most, whatever the input)."""
+    are shuffled; and only rows that may have ranges are shuffled (see common.may_match)."""
     lists = materialize(ranges.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit())
-    some = materialize(lists.groupBy(_word().alias("word")).agg(F.bit_or(one).alias("bits")), "filter")
-    marked = docs.join(F.broadcast(some), _word() == some["word"], "left")
-    maybe = F.coalesce(F.call_function("shiftrightunsigned", "bits", _bit()).bitwiseAND(F.lit(1)), F.lit(0)) == 1
-    few = marked.where(maybe).select(*KEY, "text").join(lists, KEY, "left").select("did", "text", "ranges")
+    marked = may_match(docs.select(*KEY, "text"), lists, "th")
+    few = marked.where("_maybe").join(lists, KEY, "left").select("did", "text", "ranges")
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>")
-    rest = marked.where(~maybe).select("did", "text", none.alias("ranges"))
+    rest = marked.where("not _maybe").select("did", "text", none.alias("ranges"))
     return few.mapInArrow(apply, schema).unionAll(rest.mapInArrow(apply, schema))
 
 
