@@ -54,7 +54,7 @@ def test_pii(spark):
     rows = [(i, t, "x", 1, 2) for i, t in enumerate(texts)]
     rows += [rows[3], (None, texts[4], "x", 1, 2)]
     model = train(spark)
-    assert model[1] < float("inf")
+    assert set(model[1]) == set(KINDS) and max(model[1].values()) < float("inf")
     got = {(r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone): r.spans for r in pii_digest(spark.createDataFrame(rows, SCHEMA), model).collect()}
     for i, t, *_ in rows:
         want = base_spans(t)
@@ -68,6 +68,66 @@ def test_pii(spark):
     assert {"bob [at] host [dot] com", "(555) 123-4567"} <= found and "555-123-4567" not in found
 
 
+def test_pii_keeps_what_clashes_and_merges_proposals(spark):
+    from tidemark.llm.pii import find_pii, pii_digest, redact
+
+    schema = "doc_id long, text string, base string, spans int, _text string, _digit int, _email string, __x int"
+    rows = [(1, "call 555-123-4567. mail a@b.cc; host fe80::1:2", "B", 2, "T", 3, "E", 4), (1, None, "B", 2, "T", 3, "E", 4), (None, "", None, None, None, None, None, None)]
+    df = spark.createDataFrame([*rows, rows[0]], schema)
+    got = redact(df)
+    assert got.columns == df.columns
+    out = sorted([tuple(r) for r in got.collect()], key=key)
+    new = (1, "call [PHONE]. mail [EMAIL]; host [IP]", *rows[0][2:])
+    assert out == sorted([new, new, rows[1], rows[2]], key=key)
+    with pytest.raises(ValueError):
+        find_pii(df)
+    assert redact(df.limit(0)).collect() == [] and pii_digest(df.limit(0)).collect() == []
+
+
+def test_pii_array_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import pii as P
+
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        n = rnd.randint(0, 40)
+        spans = sorted((a := rnd.randrange(200), rnd.randrange(4), a + rnd.randint(1, 12), rnd.random()) for _ in range(n))
+        base = sorted((a := rnd.randrange(200), rnd.randrange(4), a + rnd.randint(1, 12)) for _ in range(rnd.randint(0, 20)))
+        rows.append((i, [s[2] for s in spans], spans, base, "é𝒳a" * rnd.randint(0, 1500)))
+    span = "struct<start:int,rank:int,stop:int"
+    df = spark.createDataFrame(rows, f"i int, v array<int>, s array<{span},score:double>>, b array<{span}>>, t string")
+    cut = F.expr("transform(sequence(0, 40), k -> struct(k * 97 as a, k * 97 + k * k as z))")
+    got = df.select("i", P._running(F.col("v"), P._add).alias("sum"), P._merged(F.col("s")).alias("m"), P._not_covered(F.col("s"), F.col("b")).alias("n"), P._let(P._chunks(F.col("t")), lambda c: F.transform(cut, lambda x: P._cut(c, x["a"], x["z"]))).alias("cut")).collect()
+    for r in got:
+        _, v, s, b, t = rows[r.i]
+        assert r["sum"] == np.cumsum(v).tolist()
+        want = []
+        for x in s:
+            if want and x[0] < want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], x[2]), max(want[-1][2], (x[3], -x[0], -x[1])))
+            else:
+                want.append((x[0], x[2], (x[3], -x[0], -x[1])))
+        assert [tuple(x) for x in r.m] == [(a, -best[2], z) for a, z, best in want]
+        assert sorted(tuple(x) for x in r.n) == [x for x in s if not any(y[0] <= x[0] and x[2] <= y[2] for y in b)]
+        assert r.cut == [t[k * 97 : k * 97 + k * k] for k in range(41)]
+
+
+def test_pii_of_a_long_text_of_matches(spark):
+    import time
+
+    from tidemark.llm.pii import redact, train
+
+    model, took = train(spark), []
+    for n in (3000, 12000):
+        df = spark.createDataFrame([(1, "+1 555 123 4567 or a@b.cc, " * n)], "doc_id long, text string")
+        began = time.time()
+        assert redact(df, model).first().text == "[PHONE] or [EMAIL], " * n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 5
+
+
 def test_redact_and_empty(spark):
     from tidemark.llm.pii import pii_digest, redact
 
