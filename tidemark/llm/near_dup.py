@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import materialize, row_blocks, text_buffer
+from tidemark.llm.common import materialize, may_match, remove, row_blocks, shuffles_removed, text_buffer
 from tidemark.llm.decontaminate import _hashes
 from tidemark.llm.simhash import components, spanning
 
-SHINGLE, BLOCK_BYTES, SAMPLE, FREQUENT, STAR, PAIRED, TILE = 5, 2 << 20, 20_000, 200_000, 256, 32, 1024
+SHINGLE, BLOCK_BYTES, SAMPLE, FREQUENT, STAR, PAIRED, TILE = 5, 2 << 20, 4_000, 200_000, 256, 32, 1024
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray):
@@ -70,38 +70,66 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     every = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod("_h1", F.lit(every)) == 0).dropDuplicates(["_h1", "_h2"]).select("text").mapInArrow(scan, "x long")
-    got = some.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
+    with shuffles_removed(rows.sparkSession):
+        got = some.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
     x, n = got.column("x").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(x)
     return x[order], n[order]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    off = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=off[1:])
+    values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _node(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes())
+
+
+def _parts(batches):
+    """Batches of at most 1000 rows, with the sets of the texts in their first column."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            yield part, list(_rows(part.column(0)))
+
+
 def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys (longs), node, fp (the set's fingerprint), prefix and own (the set): one row for each row
+    """keys (longs), node, fp (the set's fingerprint), n (its size) and prefix: one row for each row
     of rows, which has text."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
-    def lists(parts):
-        off = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(p) for p in parts], out=off[1:])
-        values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
-
     def scan(batches):
         frequent, rank = sent.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                own = list(_rows(part.column(0)))
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
-                fp = np.array([simhash.majority(simhash.bit_counts(s), len(s)) for s in own], np.uint64).view(np.int64)
-                first = [prefix(s, frequent, rank) for s in own]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(node), pa.array(fp), lists(first), lists(own)], [*keys, "node", "fp", "prefix", "own"])
-
-    schema = ", ".join(f"{c} long" for c in (*keys, "node", "fp")) + ", prefix array<long>, own array<long>"
+        for part, own in _parts(batches):
+            fp = [simhash.majority(simhash.bit_counts(s), len(s)) for s in own]
+            n = pa.array([len(s) for s in own], pa.int64())
+            first = _lists([prefix(s, frequent, rank) for s in own])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], _longs([_node(s) for s in own]), _longs(fp), n, first], [*keys, "node", "fp", "n", "prefix"])
+
+    schema = ", ".join(f"{c} long" for c in (*keys, "node", "fp", "n")) + ", prefix array<long>"
     return rows.select(F.col("text").cast("string").alias("text"), *keys).mapInArrow(scan, schema)
 
 
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, own: the sets of the nodes in the written table wanted. They are made again from the
+    texts: stored for all rows they would take twice the room of the texts."""
+
+    def scan(batches):
+        for _, own in _parts(batches):
+            yield pa.RecordBatch.from_arrays([_longs([_node(s) for s in own]), _lists(own)], ["node", "own"])
+
+    every = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "node long, own array<long>")
+    some = may_match(every, wanted, "node").where("_maybe").select("node", "own")
+    return some.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u > v: those of the pairs (a, b) that are alike. One a may be in any number of pairs."""
     pairs = materialize(pairs, "pairs")
@@ -110,7 +138,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int").alias("salt"))
     both = salted.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
     alike = 9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))
-    return materialize(both.where(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    found = materialize(both.where(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    remove(pairs)
+    return found
 
 
 def _sizes_fit(a: str, b: str):
@@ -135,24 +165,29 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     tokens = nodes.select("node", "n", F.explode("prefix").alias("x"))
     shared = materialize(tokens.groupBy("x").agg(F.count(F.lit(1)).alias("size"), *mark).where("size > 1"), "shared")
     named = shared.groupBy("size", "h1", "h2").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("times")).select("x", "size", "times")
-    each = tokens.join(named, "x")
-    return materialize(each.select(F.col("x").alias("bucket"), "times", "node", "n", "size"), "each")
+    each = materialize(tokens.join(named, "x").select(F.col("x").alias("bucket"), "times", "node", "n", "size"), "each")
+    remove(shared)
+    return each
 
 
-def links(own: DataFrame) -> DataFrame:
-    """Edges (u > v) between nodes of a table made by shingled, that connect what is alike."""
-    nodes = materialize(own.select("node", "fp", F.size("own").alias("n"), "prefix", "own").dropDuplicates(["node"]), "nodes")
-    sets = nodes.select("node", "own")
+def links(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Edges (u > v) between nodes that connect what is alike; own is shingled(rows), written."""
+    nodes = materialize(own.select("node", "fp", "n", "prefix").dropDuplicates(["node"]), "nodes")
     each = _buckets(nodes)
-    found = each.groupBy("node").agg(F.sum("times").alias("found"))
+    found = materialize(each.groupBy("node").agg(F.sum("times").alias("found")), "found")
     ranked = materialize(each.join(found, "node"), "ranked")
     middle = ranked.groupBy("bucket").agg(F.max(F.struct("found", "node", "n")).alias("m")).select("bucket", F.col("m.node").alias("a"), F.col("m.n").alias("an"))
     stars = ranked.join(middle, "bucket").where((F.col("node") != F.col("a")) & _sizes_fit("n", "an")).select("a", F.col("node").alias("b"))
     tried = materialize(stars.unionByName(_by_fingerprint(nodes)).distinct(), "tried")
+    remove(nodes, ranked)
+    # sets that are alike meet in a bucket, so those in none need not be fetched
+    sets = materialize(_sets(rows, found), "sets")
+    remove(found)
     first = _linked(tried, sets)
     roots = components(first)
     part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "size", "node", "n", F.coalesce("root", "node").alias("root"))
     part = materialize(part, "part")
+    remove(each)
     open_ = part.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     part = part.join(open_, "bucket", "left_semi")
     lists = part.where(F.col("size") <= PAIRED).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("e"))
@@ -175,7 +210,9 @@ def links(own: DataFrame) -> DataFrame:
     rest = lists.select("e").mapInArrow(cross, "a long, b long").distinct()
     before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     out = first.union(_linked(rest.join(before, ["a", "b"], "left_anti"), sets))
-    return out.union(_tiled(part.where(F.col("size") > PAIRED).select("bucket", "size", "node"), sets))
+    out = out.union(_tiled(part.where(F.col("size") > PAIRED).select("bucket", "size", "node"), sets))
+    remove(sets, tried)
+    return out
 
 
 def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

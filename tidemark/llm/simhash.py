@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_buffer
+from tidemark.llm.common import materialize, remove, text_buffer
 
 SHINGLE, RADIUS, SEED, TILE, FEW, PIECE = 3, 3, 42, 2048, 256, 1 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -170,15 +170,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """u, root: for each node of edges (u > v) that isn't its component's smallest node."""
-    edges = materialize(edges, "edges")
-    said = None
+    edges, said = materialize(edges, "edges"), None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == said:
             return edges.select("u", F.col("v").alias("root"))
