@@ -42,7 +42,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = materialize(near_dup.shingled(rows, KEY), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
     distinct = materialize(own.groupBy("node").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
-    roots = simhash.components(near_dup.links(own))
+    roots = simhash.components(near_dup.links(rows, own))
     nodes = distinct.join(roots, distinct["node"] == roots["u"], "left").select("node", "first", "rows", F.coalesce("root", "node").alias("root"))
     # most texts stand alone: only groups of several rows have anything to drop
     groups = nodes.groupBy("root").agg(F.min("first").alias("keep"), F.sum("rows").alias("rows")).where("rows > 1").select("root", "keep")
