@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,19 @@ def remove(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def trimmed(scan):
+    """scan for mapInArrow, whose worker gives back the memory that it has free at the end: workers
+    serve later stages too, and what one stage needed would add up with what the next one does."""
+
+    def run(batches):
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

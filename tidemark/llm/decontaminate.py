@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import superkmer as S
-from tidemark.llm.common import LOWER, row_blocks, text_buffer, word_array, word_spans
+from tidemark.llm.common import LOWER, row_blocks, text_buffer, trimmed, word_array, word_spans
 from tidemark.llm.simhash import bit_counts, majority
 
 SHINGLE, LEAST, BLOCK_BYTES, ITEM_BYTES = 5, 0.8, 2 << 20, 16 << 20
@@ -160,7 +160,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True))], ["doc_id", "item_id", "first_word", "n_words", "hamming", "similarity"])
 
-        out = out.union(rows.mapInArrow(scan, SCHEMA))
+        out = out.union(rows.mapInArrow(trimmed(scan), SCHEMA))
     return out
 
 
@@ -176,5 +176,5 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFr
                 keep[[r for r, *_ in _rows(sent.value, batch.column(at).cast(pa.string()))]] = False
                 yield batch.filter(pa.array(keep))
 
-        df = df.mapInArrow(scan, df.schema)
+        df = df.mapInArrow(trimmed(scan), df.schema)
     return df

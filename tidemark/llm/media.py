@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import trimmed
+
 WIDTH, ROWS, RATE, BINS, DEVIATIONS, FLOOR = 64, 32, 25, 16, 3.0, 0.25
 
 
@@ -280,7 +282,7 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([store((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "media"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, media binary")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, media binary")
 
 
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -303,7 +305,7 @@ def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "mean_level"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
-    return rows.mapInArrow(scan, "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_level double")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, clip int, first_frame int, last_frame int, start_s double, end_s double, mean_level double")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,4 +328,4 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -10,10 +10,11 @@ Shingles get one order for all texts: by how often a sample of texts holds them,
 n shingles in that order the first n - ceil(0.8 n) + 1 are the text's prefix, and two sets with
 similarity 0.8 have a shingle of their prefixes in common (the sample changes how many candidates
 there are, never which pairs are found). Texts that share a prefix shingle form a bucket. Each
-bucket's texts are compared with that one of them which is in most buckets; then those that no
-links connect yet are compared pair by pair, in tiles where a bucket is large. So a group of many
-copies costs a few comparisons each, and all pairs that matter to the components are still tried.
-Every candidate is verified by its sets.
+bucket's texts are compared with that one of them which is in most buckets. Then those that no
+links connect yet are compared pair by pair, in tiles where a bucket is large, by how many shingles
+of each of CLASSES hash classes they have: the smaller counts' sum bounds what two sets share, so
+what it rules out is not alike. So a group of many copies costs a few comparisons each, and all
+pairs that matter to the components are still tried. Every other candidate is verified by its sets.
 
 A node is a set of shingles by a 64-bit hash (shingles are 64-bit hashes too). Null text counts as
 empty; all texts without words are one node. Rows that repeat are one node. An empty table has no
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import materialize, may_match, remove, row_blocks, shuffles_removed, text_buffer
+from tidemark.llm.common import materialize, may_match, remove, row_blocks, shuffles_removed, text_buffer, trimmed
 from tidemark.llm.decontaminate import _hashes
-from tidemark.llm.simhash import components, spanning
+from tidemark.llm.simhash import components
 
-SHINGLE, BLOCK_BYTES, SAMPLE, FREQUENT, STAR, PAIRED, TILE = 5, 2 << 20, 4_000, 200_000, 256, 32, 1024
+SHINGLE, BLOCK_BYTES, SAMPLE, FREQUENT, STAR, TILE, CLASSES = 5, 2 << 20, 20_000, 200_000, 256, 1024, 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray):
@@ -69,7 +70,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64) if got else [], pa.int64())], ["x"])
 
     every = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod("_h1", F.lit(every)) == 0).dropDuplicates(["_h1", "_h2"]).select("text").mapInArrow(scan, "x long")
+    some = rows.where(F.pmod("_h1", F.lit(every)) == 0).dropDuplicates(["_h1", "_h2"]).select("text").mapInArrow(trimmed(scan), "x long")
     with shuffles_removed(rows.sparkSession):
         got = some.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
     x, n = got.column("x").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -100,9 +101,14 @@ def _parts(batches):
             yield part, list(_rows(part.column(0)))
 
 
+def classes(own: np.ndarray) -> bytes:
+    """How many shingles of a set each of CLASSES hash classes has, as 32-bit numbers."""
+    return np.bincount((own >> np.uint64(20)).astype(np.int64) % CLASSES, minlength=CLASSES).astype("<u4").tobytes()
+
+
 def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys (longs), node, fp (the set's fingerprint), n (its size) and prefix: one row for each row
-    of rows, which has text."""
+    """keys (longs), node, fp (the set's fingerprint), n (its size), classes and prefix: one row for
+    each row of rows, which has text."""
     sent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
 
     def scan(batches):
@@ -111,10 +117,11 @@ def shingled(rows: DataFrame, keys: list[str]) -> DataFrame:
             fp = [simhash.majority(simhash.bit_counts(s), len(s)) for s in own]
             n = pa.array([len(s) for s in own], pa.int64())
             first = _lists([prefix(s, frequent, rank) for s in own])
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], _longs([_node(s) for s in own]), _longs(fp), n, first], [*keys, "node", "fp", "n", "prefix"])
+            count = pa.array([classes(s) for s in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], _longs([_node(s) for s in own]), _longs(fp), n, count, first], [*keys, "node", "fp", "n", "classes", "prefix"])
 
-    schema = ", ".join(f"{c} long" for c in (*keys, "node", "fp", "n")) + ", prefix array<long>"
-    return rows.select(F.col("text").cast("string").alias("text"), *keys).mapInArrow(scan, schema)
+    schema = ", ".join(f"{c} long" for c in (*keys, "node", "fp", "n")) + ", classes binary, prefix array<long>"
+    return rows.select(F.col("text").cast("string").alias("text"), *keys).mapInArrow(trimmed(scan), schema)
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,21 +132,27 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for _, own in _parts(batches):
             yield pa.RecordBatch.from_arrays([_longs([_node(s) for s in own]), _lists(own)], ["node", "own"])
 
-    every = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "node long, own array<long>")
+    every = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(scan), "node long, own array<long>")
     some = may_match(every, wanted, "node").where("_maybe").select("node", "own")
     return some.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u > v: those of the pairs (a, b) that are alike. One a may be in any number of pairs."""
-    pairs = materialize(pairs, "pairs")
+    """_verified, given the sets. One a may be in any number of pairs."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("k")).where("k > 1")
     left = sets.join(many.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("a"), F.col("own").alias("left"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
     salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1))).cast("int").alias("salt"))
     both = salted.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
     alike = 9 * F.size(F.array_intersect("left", "right")) >= 4 * (F.size("left") + F.size("right"))
-    found = materialize(both.where(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
-    remove(pairs)
+    return materialize(both.where(alike).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """u > v: those of the written pairs (a, b) that are alike."""
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    sets = materialize(_sets(rows, wanted), "sets")
+    found = _linked(pairs, sets)
+    remove(wanted, sets)
     return found
 
 
@@ -172,100 +185,58 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, own: DataFrame) -> DataFrame:
     """Edges (u > v) between nodes that connect what is alike; own is shingled(rows), written."""
-    nodes = materialize(own.select("node", "fp", "n", "prefix").dropDuplicates(["node"]), "nodes")
+    nodes = materialize(own.select("node", "fp", "n", "classes", "prefix").dropDuplicates(["node"]), "nodes")
     each = _buckets(nodes)
-    found = materialize(each.groupBy("node").agg(F.sum("times").alias("found")), "found")
-    ranked = materialize(each.join(found, "node"), "ranked")
+    ranked = materialize(each.join(each.groupBy("node").agg(F.sum("times").alias("found")), "node"), "ranked")
     middle = ranked.groupBy("bucket").agg(F.max(F.struct("found", "node", "n")).alias("m")).select("bucket", F.col("m.node").alias("a"), F.col("m.n").alias("an"))
     stars = ranked.join(middle, "bucket").where((F.col("node") != F.col("a")) & _sizes_fit("n", "an")).select("a", F.col("node").alias("b"))
     tried = materialize(stars.unionByName(_by_fingerprint(nodes)).distinct(), "tried")
-    remove(nodes, ranked)
-    # sets that are alike meet in a bucket, so those in none need not be fetched
-    sets = materialize(_sets(rows, found), "sets")
-    remove(found)
-    first = _linked(tried, sets)
+    remove(ranked)
+    first = _verified(tried, rows)
     roots = components(first)
-    part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "size", "node", "n", F.coalesce("root", "node").alias("root"))
+    part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
     part = materialize(part, "part")
-    remove(each)
     open_ = part.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    part = part.join(open_, "bucket", "left_semi")
-    lists = part.where(F.col("size") <= PAIRED).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("e"))
-
-    def cross(batches):
-        for batch in batches:
-            col = batch.column(0)
-            flat, off = col.flatten(), np.concatenate(([0], np.cumsum(col.value_lengths().to_numpy())))
-            node, n, root = (flat.field(i).to_numpy() for i in range(3))
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(len(col)):
-                s = slice(off[i], off[i + 1])
-                k, size, at = node[s], n[s].astype(np.int64), root[s]
-                fit = 5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size)
-                x, y = np.nonzero(np.triu(fit & (at[:, None] != at), 1))
-                us.append(np.maximum(k[x], k[y]))
-                vs.append(np.minimum(k[x], k[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["a", "b"])
-
-    rest = lists.select("e").mapInArrow(cross, "a long, b long").distinct()
     before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    out = first.union(_linked(rest.join(before, ["a", "b"], "left_anti"), sets))
-    out = out.union(_tiled(part.where(F.col("size") > PAIRED).select("bucket", "size", "node"), sets))
-    remove(sets, tried)
+    rest = materialize(_possible(part.join(open_, "bucket", "left_semi"), nodes).join(before, ["a", "b"], "left_anti"), "rest")
+    remove(nodes, each, part, tried)
+    out = first.union(_verified(rest, rows))
+    remove(rest)
     return out
 
 
-def alike(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Which sets of a are alike to which of b, by products of their incidence matrices."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    x, y = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(x, y)
-    rows = []
-    for values, n in ((x, na), (y, nb)):
-        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
-        ok = both[at] == values if len(both) else np.zeros(len(values), bool)
-        order = np.argsort(at[ok], kind="stable")
-        rows.append((np.repeat(np.arange(len(n)), n)[ok][order], at[ok][order]))
-    got = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, len(both), 1024):
-        parts = []
-        for (row, at), n in zip(rows, (len(a), len(b)), strict=True):
-            s = slice(*np.searchsorted(at, (lo, lo + 1024)))
-            m = np.zeros((n, min(1024, len(both) - lo)), np.float32)
-            m[row[s], at[s] - lo] = 1
-            parts.append(m)
-        got += parts[0] @ parts[1].T
-    return 9 * got.astype(np.int64) >= 4 * (na[:, None] + nb)
-
-
-def _tiled(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """u > v: links within large buckets, whose nodes are compared tile by tile; a pair of tiles
-    passes on a spanning forest."""
-    dealt = large.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # each tile goes to its pairs with all tiles, itself included
-    pair = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    sent = dealt.select("bucket", "tile", "node", pair).select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), (F.col("tile") > F.col("other")).alias("right"), "node")
-    full = sent.join(sets, "node").groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("right", "node", "own")).alias("e")).select("e", (F.col("lo") == F.col("hi")).alias("same"))
+def may_be_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Which sets of a could be alike to which of b, by their sizes and the counts of their classes."""
+    ok = 5 * np.minimum(na[:, None], nb) >= 4 * np.maximum(na[:, None], nb)
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        at = np.flatnonzero(ok[i])
+        ok[i, at] = 9 * np.minimum(a[i], b[at]).sum(axis=1, dtype=np.int64) >= 4 * (na[i] + nb[at])
+    return ok
+
+
+def _possible(part: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs a > b of a bucket's nodes, of different roots, that may be alike. Nodes are compared
+    tile by tile: each tile goes to its pairs with all tiles of its bucket, itself included."""
+    dealt = part.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sent = dealt.select("bucket", "tile", "node", "root", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    sent = sent.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), (F.col("tile") > F.col("other")).alias("right"), "node", "root")
+    full = sent.join(nodes.select("node", "n", "classes"), "node")
+    full = full.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("right", "node", "root", "n", "classes")).alias("e")).select("e", (F.col("lo") == F.col("hi")).alias("same"))
 
     def compare(batches):
         for batch in batches:
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(batch.num_rows):
                 e, same = batch.column(0).slice(i, 1).flatten(), batch.column(1)[i].as_py()
-                right, node = e.field(0).to_numpy(zero_copy_only=False), e.field(1).to_numpy()
-                own = e.field(2)
-                end = np.concatenate(([0], np.cumsum(own.value_lengths().to_numpy())))
-                flat = own.flatten().to_numpy()
-                every = [flat[p:q] for p, q in zip(end, end[1:], strict=False)]
+                right, node, root, n = (e.field(j).to_numpy(zero_copy_only=False) for j in range(4))
+                count = np.frombuffer(b"".join(e.field(4).to_pylist()), "<u4").reshape(-1, CLASSES)
                 a, b = np.flatnonzero(~right), np.flatnonzero(right)
                 if same:
                     b = a
-                if len(a) and len(b):
-                    u, v = spanning(node[a], node[b], alike([every[j] for j in a], [every[j] for j in b]), same)
-                    us.append(u)
-                    vs.append(v)
-            u, v = np.concatenate(us), np.concatenate(vs)
-            u, v, ok = np.maximum(u, v), np.minimum(u, v), u != v
-            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
-
-    return materialize(full.mapInArrow(compare, "u long, v long").distinct(), "tiled")
+                ok = may_be_alike(count[a], count[b], n[a], n[b]) & (root[a][:, None] != root[b])
+                x, y = np.nonzero(np.triu(ok, 1) if same else ok)
+                us.append(np.maximum(node[a][x], node[b][y]))
+                vs.append(np.minimum(node[a][x], node[b][y]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["a", "b"])
+
+    return full.mapInArrow(trimmed(compare), "a long, b long").distinct()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, numbered, row_blocks, text_buffer, with_row, word_array, word_spans
+from tidemark.llm.common import materialize, numbered, row_blocks, text_buffer, trimmed, with_row, word_array, word_spans
 
 TOKENS, END = 4096, 1
 BLOCK_BYTES = 4 << 20
@@ -156,7 +156,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row)), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int, documents: int, attention: int, weights: tuple[float, float, float]) -> list[tuple[int, int, int, int, int]]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, row_blocks, text_buffer, word_array, word_spans
+from tidemark.llm.common import LOWER, row_blocks, text_buffer, trimmed, word_array, word_spans
 
 SAMPLE, BITS, GRADES, PREFIX, BLOCK_BYTES, SCREEN = 8000, 18, 3, 4, 2 << 20, 6.0
 _MASK = (1 << BITS) - 1
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             lists = pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(f, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["grade", "f"])
 
-    got = rows.mapInArrow(scan, "grade int, f array<int>").toArrow()
+    got = rows.mapInArrow(trimmed(scan), "grade int, f array<int>").toArrow()
     if got.num_rows == 0 or len(set(got["grade"].to_pylist())) < 2:
         return None
     lists = got["f"].combine_chunks()
@@ -166,7 +166,7 @@ def grades(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good + clean), pa.array(good), pa.array(clean)], ["doc_id", "expected_grade", "p_good", "p_clean"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, expected_grade double, p_good double, p_clean double")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, expected_grade double, p_good double, p_clean double")
 
 
 def keep_good(df: DataFrame, model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -177,4 +177,4 @@ def keep_good(df: DataFrame, model, least: float = 0.5, text_col: str = "text")
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at).cast(pa.string()))[1] >= least))
 
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(trimmed(scan), df.schema)

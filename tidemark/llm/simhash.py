@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, remove, text_buffer
+from tidemark.llm.common import materialize, remove, text_buffer, trimmed
 
 SHINGLE, RADIUS, SEED, TILE, FEW, PIECE = 3, 3, 42, 2048, 256, 1 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -83,7 +83,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    return rows.mapInArrow(scan, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
+    return rows.mapInArrow(trimmed(scan), ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 _SPAN = 24  # a part's count is 0 to 16; neighbours reach 3 below and above
@@ -165,7 +165,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
                 u, v, ok = np.maximum(u, v), np.minimum(u, v), u != v
                 yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
-    return pairs.mapInArrow(compare, "u long, v long").distinct()
+    return pairs.mapInArrow(trimmed(compare), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

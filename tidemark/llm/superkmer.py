@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import input_bytes, materialize, may_match, mix, row_blocks, runs, shuffle_partitions, shuffles_removed, text_buffer
+from tidemark.llm.common import input_bytes, materialize, may_match, mix, row_blocks, runs, shuffle_partitions, shuffles_removed, text_buffer, trimmed
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -168,7 +168,7 @@ def hot_minimisers(docs: DataFrame, size: int, map_block, block_bytes: int) -> n
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in counter.totals()], ["least", "bytes", "n"])
 
     many = F.sum("bytes").alias("bytes"), F.sum("n").alias("n")
-    got = some.mapInArrow(scan, "least long, bytes long, n long").groupBy("least").agg(*many)
+    got = some.mapInArrow(trimmed(scan), "least long, bytes long, n long").groupBy("least").agg(*many)
     got = got.where((F.col("bytes") * every > BUCKET_BYTES // 4) & (F.col("n") >= LEAST_SEEN))
     with shuffles_removed(docs.sparkSession):
         found = got.orderBy(F.desc("bytes"), "least").limit(MOST_HOT).select("least").toArrow()
@@ -326,9 +326,9 @@ def removal_ranges(docs: DataFrame, map_block, bucket_rows, block_bytes: int, le
                     held.setdefault(sub, []).append((cols, text))
         yield from closed(held)
 
-    packed = docs.select("did", "th", "tl", "text").mapInArrow(scan, "part int, bucket int, n int, blob binary")
+    packed = docs.select("did", "th", "tl", "text").mapInArrow(trimmed(scan), "part int, bucket int, n int, blob binary")
     dealt = packed.repartitionById(parts, packed["part"]).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(settle, RANGES)
+    return dealt.mapInArrow(trimmed(settle), RANGES)
 
 
 KEY = ["did", "th", "tl"]
@@ -344,7 +344,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, apply, schema: str) -> DataF
     few = marked.where("_maybe").join(lists, KEY, "left").select("did", "text", "ranges")
     none = F.lit(None).cast("array<struct<lo:int,hi:int>>")
     rest = marked.where("not _maybe").select("did", "text", none.alias("ranges"))
-    return few.mapInArrow(apply, schema).unionAll(rest.mapInArrow(apply, schema))
+    return few.mapInArrow(trimmed(apply), schema).unionAll(rest.mapInArrow(trimmed(apply), schema))
 
 
 def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:

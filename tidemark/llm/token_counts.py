@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_blocks, text_buffer, word_array, word_spans
+from tidemark.llm.common import row_blocks, text_buffer, trimmed, word_array, word_spans
 
 BLOCK_BYTES = 4 << 20
 
@@ -104,4 +104,4 @@ def token_counts(df: DataFrame, vocabulary: str | None = None, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(np.concatenate([none, *words])), pa.array(np.concatenate([none, *tokens]))], ["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_bytes long, n_pretokens long, n_tokens long")
+    return rows.mapInArrow(trimmed(scan), "doc_id long, n_bytes long, n_pretokens long, n_tokens long")
