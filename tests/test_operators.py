@@ -170,3 +170,33 @@ def test_discrete_wins_on_two_peaks(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_returns", lambda *_: rows)
     got = catalog.QUERIES["return_dist_best"](spark, "").collect()
     assert [x.name for x in got] == ["discrete"]
+
+
+def test_ema_is_the_plain_recursion(spark):
+    import random
+
+    from tidemark.operators.windows import ema
+
+    rnd = random.Random(2)
+    rows = [(k, t, rnd.uniform(-5, 0)) for k in ("a", "b") for t in range(1500 if k == "a" else 40)]
+    for decay in (0.5, 0.99):
+        got = {(r.k, r.open_time): r.e for r in ema(spark.createDataFrame(rows, "k string, open_time long, v double"), "v", ["k"], decay, "e").collect()}
+        now = {"a": 0.0, "b": 0.0}
+        for k, t, v in rows:
+            now[k] = decay * now[k] + (1 - decay) * v
+            assert abs(got[k, t] - now[k]) < 1e-9
+
+
+def test_better_evidence_gets_more_weight(spark):
+    # fixed values: twenty-one ticks of two sources
+    rows = [("x", t, s, *v) for t in range(21) for s, *v in (("good", 0.8, 0.1, 0.7, 0.01, -0.1), ("bad", 0.5, 0.4, 0.1, 0.01, -5.0))]
+    df = spark.createDataFrame(rows, "asset string, open_time long, source string, p_up double, p_down double, mean double, std double, log_evidence double")
+    got = {r.open_time: r for r in signals.fuse(df, floor=0.0, decay=0.5, sources=2).collect()}
+    good, bad = 0.0, 0.0
+    for t in range(21):
+        good, bad = 0.5 * good - 0.05, 0.5 * bad - 2.5
+        w = math.exp(good) / (math.exp(good) + math.exp(bad))
+        assert abs(got[t].top_weight - w) < 1e-9 and abs(got[t].p_up - (w * 0.8 + (1 - w) * 0.5)) < 1e-9
+        mean = w * 0.7 + (1 - w) * 0.1
+        assert abs(got[t].std - math.sqrt(1e-4 + w * (0.7 - mean) ** 2 + (1 - w) * (0.1 - mean) ** 2)) < 1e-9
+    assert got[20].top_weight > 0.5

@@ -20,7 +20,7 @@ class DualKalman:
         self.q = (walk * walk, walk * walk / 10, walk * walk)
         self.r = sigma_obs * sigma_obs
         self.x, self.p = None, (1.0, 0.0, 1.0)
-        self.theta, self.pi = [0.0, 0.05, math.log(1e-3)], np.eye(3) * 0.1
+        self.theta, self.pi = [0.0, 0.05, math.log(1e-3)], (0.1, 0.0, 0.0, 0.1)
         self.mean = 0.0
 
     @staticmethod
@@ -37,6 +37,7 @@ class DualKalman:
             self.x, self.mean = (z, 0.0), z
             return z, 0.0, *self.theta[:2], 0.0, 1.0
         self.mean = 0.99 * self.mean + 0.01 * z
+        t0, t1, t2 = self.theta
         mu, kappa, log_sigma = self._held(self.theta)
         a, b, c = self.p
         f, s2 = 1 - kappa, math.exp(2 * log_sigma)
@@ -46,23 +47,27 @@ class DualKalman:
         x0, x1 = self._level(self.theta), self.RHO * self.x[1]
         e, s = z - x0, pa + self.r
         k0, k1 = pa / s, pb / s
-        jac = np.zeros(3)
-        for i in range(3):
-            up, down = list(self.theta), list(self.theta)
-            up[i] += self.EPS
-            down[i] -= self.EPS
-            jac[i] = (self._level(up) - self._level(down)) / (2 * self.EPS)
+        eps = self.EPS
+        j0 = (self._level((t0 + eps, t1, t2)) - self._level((t0 - eps, t1, t2))) / (2 * eps)
+        j1 = (self._level((t0, t1 + eps, t2)) - self._level((t0, t1 - eps, t2))) / (2 * eps)
         # the update matrix is [[1 - k0, -k0], [-k1, 1 - k1]]: a fixed rule, not the textbook's
-        m = np.array([[1 - k0, -k0], [-k1, 1 - k1]])
-        k = np.array([[k0], [k1]])
-        p = m @ np.array([[pa, pb], [pb, pc]]) @ m.T + k @ k.T * self.r
-        self.p = (p[0, 0], p[0, 1], p[1, 1])
+        m00, m01 = (1 - k0) * pa - k0 * pb, (1 - k0) * pb - k0 * pc
+        m10, m11 = (1 - k1) * pb - k1 * pa, (1 - k1) * pc - k1 * pb
+        self.p = (
+            m00 * (1 - k0) - m01 * k0 + k0 * k0 * self.r,
+            m01 * (1 - k1) - m00 * k1 + k0 * k1 * self.r,
+            m11 * (1 - k1) - m10 * k1 + k1 * k1 * self.r,
+        )
         self.x = (x0 + k0 * e, x1 + k1 * e)
-        wide = self.pi + np.diag(self.q)
-        gain = wide @ jac / max(jac @ wide @ jac + s, 1e-30)
-        self.theta = list(self._held([t + g * e for t, g in zip(self.theta, gain, strict=True)]))
-        self.pi = (np.eye(3) - np.outer(gain, jac)) @ wide
-        return *self.x, *self.theta[:2], -0.5 * (e * e / s + math.log(s) + math.log(2 * math.pi)), float(self.p[0])
+        # the level does not depend on log sigma, so its gain is zero and it keeps its start
+        w00, w01, w10, w11 = self.pi[0] + self.q[0], self.pi[1], self.pi[2], self.pi[3] + self.q[1]
+        h0, h1 = w00 * j0 + w01 * j1, w10 * j0 + w11 * j1
+        d = max(j0 * h0 + j1 * h1 + s, 1e-30)
+        g0, g1 = h0 / d, h1 / d
+        self.theta = list(self._held((t0 + g0 * e, t1 + g1 * e, t2)))
+        u0, u1 = j0 * w00 + j1 * w10, j0 * w01 + j1 * w11
+        self.pi = (w00 - g0 * u0, w01 - g0 * u1, w10 - g1 * u0, w11 - g1 * u1)
+        return *self.x, *self.theta[:2], -0.5 * (e * e / s + math.log(s) + math.log(2 * math.pi)), self.p[0]
 
 
 class LinearKalman:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clamp, entropy_confidence, logistic, normal_cdf, regime, risk_reward, safe_div, sign_up
+from tidemark.operators.windows import ema
 
 
 def frequency_signal(features: DataFrame) -> DataFrame:
@@ -29,19 +30,36 @@ def orderbook_signal(df: DataFrame) -> DataFrame:
     return df.select("asset", "open_time", F.lit("orderbook").alias("source"), up.alias("p_up"), down.alias("p_down"), (ofi * std).alias("mean"), std.alias("std"), (-0.5 * (1 - F.abs(ofi)) - tail).alias("log_evidence"))
 
 
-def fuse(signals: DataFrame, floor: float = 0.05) -> DataFrame:
-    """One row for each (asset, open_time): softmax weights over the sources' evidence with a floor,
-    and the mixture's probabilities, mean, std, confidence and regime."""
+def kalman_signal(posterior: DataFrame, sigma: float = 1e-3) -> DataFrame:
+    """From level, velocity, drift, level_variance and log_predictive of the dual Kalman filter."""
+    mean = F.col("level") + F.col("velocity") + F.col("drift")
+    std = F.greatest(F.sqrt(F.col("level_variance") + sigma * sigma), F.lit(1e-10))
+    up, down = (clamp(normal_cdf(s * mean / std), 0.0, 1.0) for s in (F.lit(1.0), F.lit(-1.0)))
+    return posterior.select("asset", "open_time", F.lit("dual_kalman").alias("source"), up.alias("p_up"), down.alias("p_down"), mean.alias("mean"), std.alias("std"), F.col("log_predictive").alias("log_evidence"))
+
+
+def fuse(signals: DataFrame, floor: float = 0.05, decay: float = 0.99, sources: int = 3) -> DataFrame:
+    """One row for each (asset, open_time) that has a signal: the mixture of its sources.
+
+    Each source's evidence, held to [-50, 0], is averaged over the asset's signals so far (see
+    windows.ema). Weights are the softmax of those averages over the sources at hand, with a floor
+    for each of at most 1 / sources; confidence is the mean of the sources' own by weight."""
+    floor = min(max(floor, 0.0), 1 / sources)
+    held = signals.withColumn("evidence", clamp(F.col("log_evidence"), -50.0, 0.0))
+    held = ema(held, "evidence", ["asset", "source"], decay, "memory")
     by = Window.partitionBy("asset", "open_time")
-    e = F.exp(F.col("log_evidence") - F.max("log_evidence").over(by))
+    e = F.exp(F.col("memory") - F.max("memory").over(by))
     n = F.count(F.lit(1)).over(by)
-    weight = F.when(floor * n >= 1, 1 / n).otherwise(floor + (1 - floor * n) * e / F.sum(e).over(by))
-    w = signals.withColumn("w", weight)
+    weight = F.when(floor * n >= 1, 1 / n).otherwise(floor + (1 - floor * n) * e / F.greatest(F.sum(e).over(by), F.lit(1e-30)))
+    w = held.withColumn("w", weight).withColumn("mixed", F.sum(F.col("w") * F.col("mean")).over(by))
     mix = lambda c: F.sum(F.col("w") * c)
-    out = w.groupBy("asset", "open_time").agg(mix(F.col("p_up")).alias("p_up"), mix(F.col("p_down")).alias("p_down"), mix(F.col("mean")).alias("mean"), mix(F.col("std") * F.col("std") + F.col("mean") * F.col("mean")).alias("second"), F.max("w").alias("top_weight"))
-    out = out.withColumn("std", F.sqrt(F.greatest(F.col("second") - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("second")
-    edge = F.col("p_up") - F.col("p_down")
-    return out.withColumn("confidence", entropy_confidence(F.col("p_up"), F.col("p_down"))).withColumn("regime", regime(F.col("std"), edge))
+    off = F.col("mean") - F.col("mixed")
+    out = w.groupBy("asset", "open_time").agg(
+        clamp(mix(F.col("p_up")), 0.0, 1.0).alias("p_up"), clamp(mix(F.col("p_down")), 0.0, 1.0).alias("p_down"), F.first("mixed").alias("mean"),
+        F.greatest(F.sqrt(mix(F.col("std") * F.col("std") + off * off)), F.lit(1e-10)).alias("std"),
+        clamp(mix(entropy_confidence(F.col("p_up"), F.col("p_down"))), 0.0, 1.0).alias("confidence"), F.max("w").alias("top_weight"),
+    )
+    return out.withColumn("regime", regime(F.col("std"), F.col("p_up") - F.col("p_down")))
 
 
 def kelly(dists: DataFrame, fraction: float = 0.5, cap: float = 0.3, tc_weight: float = 0.001) -> DataFrame:
@@ -56,7 +74,7 @@ def kelly(dists: DataFrame, fraction: float = 0.5, cap: float = 0.3, tc_weight:
 
 def candidates(sized: DataFrame, least_confidence: float = 0.55, least_edge: float = 0.05, least_elg: float = 0.0) -> DataFrame:
     edge = F.abs(F.col("p_up") - F.col("p_down"))
-    return sized.where((F.col("confidence") >= least_confidence) & (edge >= least_edge) & (F.abs("f") >= 1e-4) & (F.col("elg") >= least_elg))
+    return sized.where((F.col("confidence") > 0.55) & (F.col("confidence") >= least_confidence) & (edge >= least_edge) & (F.abs("f") >= 1e-4) & (F.col("elg") >= least_elg))
 
 
 def best_subset(cands: DataFrame, most: int = 3, budget: float = 25.0, cap: int = 10) -> DataFrame:

@@ -140,3 +140,27 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """df with its doubles rounded, and no negative zeros, for comparison."""
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
+
+def ema(df: DataFrame, value: str, keys: list[str], decay: float, name: str) -> DataFrame:
+    """df with name: the running average e = decay * e + (1 - decay) * value over each key's rows by
+    open_time, from 0.
+
+    The recursion is linear, so it is summed in chunks whose weights stay within 1e3, and what the
+    chunks before leave over is added from the last of them whose weight reaches 1e-18."""
+    rate = -math.log(decay)
+    size, back = max(1, int(math.log(1e3) / rate)), 0
+    while decay ** (size * back) > 1e-18:
+        back += 1
+    whole = Window.partitionBy(*keys).orderBy("open_time")
+    n = F.row_number().over(whole) - 1
+    rows = df.withColumn("_n", n).withColumn("_chunk", F.floor(F.col("_n") / size)).withColumn("_at", F.col("_n") % size)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    upto = F.sum(F.col(value) * F.pow(F.lit(decay), -F.col("_at"))).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_own", (1 - decay) * F.pow(F.lit(decay), F.col("_at")) * upto)
+    ends = rows.where(F.col("_at") == size - 1).select(*keys, F.col("_chunk").alias("_of"), F.col("_own").alias("_end"))
+    by = Window.partitionBy(*keys).orderBy("_of")
+    carried = sum((F.coalesce(F.lag("_end", j).over(by), F.lit(0.0)) * decay ** (size * j) for j in range(1, back)), F.col("_end"))
+    carry = ends.select(*keys, (F.col("_of") + 1).alias("_chunk"), carried.alias("_carry"))
+    out = rows.join(carry, [*keys, "_chunk"], "left")
+    total = F.col("_own") + F.pow(F.lit(decay), F.col("_at") + 1) * F.coalesce("_carry", F.lit(0.0))
+    return out.withColumn(name, total).select(*df.columns, name)

@@ -219,16 +219,39 @@ def cauchy_eval(spark, sf_dir):
     return out.withColumn("var_95", F.col("location") + F.col("scale") * math.tan(math.pi * (0.05 - 0.5)))
 
 
-FSIG = FEATURES.replace(" FROM bars),", " FROM bars),", 1) + f""", v AS (SELECT *, close - lag(close) OVER ({_T}) AS vel FROM feats),
- tn AS (SELECT asset, open_time, CASE WHEN coalesce(vel, 0) < 0 THEN -1 ELSE 1 END AS sg, spectral_entropy AS h, greatest(least((1 - spectral_entropy) * least(1 / greatest(noise_trend_ratio, 0.1), 1.0), 1.0), 0.0) AS tr,
+_KF_LEVEL = "(1 - greatest(least({k}, 0.98), 0.001)) * x0 + x1 + greatest(least({k}, 0.98), 0.001) * mn + greatest(least({m}, 0.01), -0.01)"
+_KF_AT = lambda m, k: _KF_LEVEL.format(m=m, k=k)
+#: The dual Kalman filter on closes, row after row: state (x0, x1), running mean, variances, drift and kappa with theirs.
+KALMAN = """, bn AS (SELECT asset, open_time, close AS z, row_number() OVER (PARTITION BY asset ORDER BY open_time) AS n FROM bars),
+ kf AS (SELECT asset, open_time, n, z AS x0, CAST(0.0 AS DOUBLE) AS x1, z AS mn, CAST(1.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b, CAST(1.0 AS DOUBLE) AS c, CAST(0.0 AS DOUBLE) AS t0, CAST(0.05 AS DOUBLE) AS t1,
+ CAST(0.1 AS DOUBLE) AS p00, CAST(0.0 AS DOUBLE) AS p01, CAST(0.0 AS DOUBLE) AS p10, CAST(0.1 AS DOUBLE) AS p11, CAST(0.0 AS DOUBLE) AS lp FROM bn WHERE n = 1
+ UNION ALL
+ SELECT asset, open_time, n, px + k0 * e, pv + k1 * e, mn, m00 * (1 - k0) - m01 * k0 + k0 * k0 * 1e-4, m01 * (1 - k1) - m00 * k1 + k0 * k1 * 1e-4, m11 * (1 - k1) - m10 * k1 + k1 * k1 * 1e-4,
+ greatest(least(t0 + g0 * e, 0.01), -0.01), greatest(least(t1 + g1 * e, 0.98), 0.001), w00 - g0 * u0, p01 - g0 * u1, p10 - g1 * u0, w11 - g1 * u1, -0.5 * (e * e / s + ln(s) + ln(2 * pi()))
+ FROM (SELECT *, h0 / greatest(j0 * h0 + j1 * h1 + s, 1e-30) AS g0, h1 / greatest(j0 * h0 + j1 * h1 + s, 1e-30) AS g1,
+  (1 - k0) * pa - k0 * pb AS m00, (1 - k0) * pb - k0 * pc AS m01, (1 - k1) * pb - k1 * pa AS m10, (1 - k1) * pc - k1 * pb AS m11 FROM (
+ SELECT *, pa / s AS k0, pb / s AS k1, z - px AS e, w00 * j0 + p01 * j1 AS h0, p10 * j0 + w11 * j1 AS h1, j0 * w00 + j1 * p10 AS u0, j0 * p01 + j1 * w11 AS u1 FROM (
+ SELECT *, pa + 1e-4 AS s, p00 + 1e-6 AS w00, p11 + 1e-7 AS w11 FROM (
+ SELECT *, f * f * a + 2 * f * b + c + exp(2 * ln(1e-3)) AS pa, 0.9 * (f * b + c) AS pb, 0.9 * 0.9 * c + 0.1 * exp(2 * ln(1e-3)) AS pc, """ + _KF_AT("t0", "t1") + """ AS px, 0.9 * x1 AS pv,
+ ((""" + _KF_AT("(t0 + 1e-5)", "t1") + ") - (" + _KF_AT("(t0 - 1e-5)", "t1") + """)) / 2e-5 AS j0, ((""" + _KF_AT("t0", "(t1 + 1e-5)") + ") - (" + _KF_AT("t0", "(t1 - 1e-5)") + """)) / 2e-5 AS j1 FROM (
+ SELECT kf.* EXCLUDE (open_time, n, mn), bn.open_time, bn.n, bn.z, 0.99 * kf.mn + 0.01 * bn.z AS mn, 1 - greatest(least(t1, 0.98), 0.001) AS f FROM kf JOIN bn ON kf.asset = bn.asset AND bn.n = kf.n + 1)))))),
+ kp AS (SELECT asset, open_time, x0 AS level, x1 AS velocity, t0 AS drift, t1 AS kappa, lp AS log_predictive, a AS level_variance FROM kf)"""
+
+
+FSIG = FEATURES.replace("WITH bars", "WITH RECURSIVE bars", 1) + KALMAN + """, v AS (SELECT feats.*, kp.velocity AS vel FROM feats JOIN kp USING (asset, open_time)),
+ tn AS (SELECT asset, open_time, CASE WHEN vel < 0 THEN -1 ELSE 1 END AS sg, spectral_entropy AS h, greatest(least((1 - spectral_entropy) * least(1 / greatest(noise_trend_ratio, 0.1), 1.0), 1.0), 0.0) AS tr,
  greatest(least(spectral_entropy * least(noise_trend_ratio, 1.0), 1.0), 0.0) AS ns FROM v),
  fs AS (SELECT asset, open_time, greatest(least(0.5 + tr * sg * sqrt(tr) / 2, 0.99), 0.01) AS p_up, greatest(least(0.5 - tr * sg * sqrt(tr) / 2, 0.99), 0.01) AS p_down,
  tr * sg * sqrt(tr) * (0.005 + 0.02 * ns) AS mean, 0.005 + 0.02 * ns AS std, greatest(least(-ln(greatest(h, 1e-5)) * (1 - h) - 1, 0.0), -20.0) AS le FROM tn)"""
 
 
+def _posterior(spark, sf_dir):
+    return scans.dual_kalman(_bars(spark, sf_dir))
+
+
 def _frequency(spark, sf_dir):
     feats = windows.spectral_features(windows.spectrum(_bars(spark, sf_dir)))
-    return signals.frequency_signal(feats.withColumn("velocity", F.coalesce(F.col("close") - F.lag("close").over(windows.by_time()), F.lit(0.0))))
+    return signals.frequency_signal(feats.join(_posterior(spark, sf_dir).select("asset", "open_time", "velocity"), ["asset", "open_time"]))
 
 
 @query(FSIG + " SELECT asset, open_time, 'frequency' AS source, round(p_up, 4) AS p_up, round(p_down, 4) AS p_down, round(mean, 4) + 0.0 AS mean, round(std, 4) AS std, round(le, 4) + 0.0 AS log_evidence FROM fs", 4)
@@ -255,15 +278,27 @@ def orderbook_signal(spark, sf_dir):
     return _orderbook(spark, sf_dir)
 
 
-FUSED = FSIG + OSIG + """, al AS (SELECT * FROM fs UNION ALL SELECT * FROM os), ex AS (SELECT *, exp(le - max(le) OVER t) AS e, count(*) OVER t AS n FROM al WINDOW t AS (PARTITION BY asset, open_time)),
+_ENTROPY = "greatest(least(1 + (greatest(p_up, 1e-10) * ln(greatest(p_up, 1e-10)) + greatest(p_down, 1e-10) * ln(greatest(p_down, 1e-10)) + greatest(greatest(least(1 - p_up - p_down, 1.0), 0.0), 1e-10) * ln(greatest(greatest(least(1 - p_up - p_down, 1.0), 0.0), 1e-10))) / ln(3), 1.0), 0.0)"
+KSIG = """, ks0 AS (SELECT asset, open_time, level + velocity + drift AS mean, greatest(sqrt(level_variance + 1e-6), 1e-10) AS std, log_predictive AS le FROM kp),
+ ks AS (SELECT asset, open_time, greatest(least(""" + _CDF("(mean / std)") + ", 1.0), 0.0) AS p_up, greatest(least(" + _CDF("(-mean / std)") + """, 1.0), 0.0) AS p_down, mean, std, le FROM ks0)"""
+# the average of evidence row by row, then softmax with a floor, then the mixture
+FUSED = FSIG + OSIG + KSIG + """, al AS (SELECT 'f' AS src, * FROM fs UNION ALL SELECT 'o', * FROM os UNION ALL SELECT 'k', * FROM ks),
+ em AS (SELECT *, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST(greatest(least(le, 0.0), -50.0) AS DOUBLE)) OVER (PARTITION BY asset, src ORDER BY open_time)), lambda m, x: 0.99 * m + 0.01 * x) AS mem FROM al),
+ ex AS (SELECT *, exp(mem - max(mem) OVER t) AS e, count(*) OVER t AS n FROM em WINDOW t AS (PARTITION BY asset, open_time)),
  wt AS (SELECT *, CASE WHEN 0.05 * n >= 1 THEN 1 / n ELSE 0.05 + (1 - 0.05 * n) * e / sum(e) OVER (PARTITION BY asset, open_time) END AS w FROM ex),
- mx AS (SELECT asset, open_time, sum(w * p_up) AS p_up, sum(w * p_down) AS p_down, sum(w * mean) AS mean, sum(w * (std * std + mean * mean)) AS second, max(w) AS top_weight FROM wt GROUP BY 1, 2),
- fu AS (SELECT asset, open_time, p_up, p_down, mean, sqrt(greatest(second - mean * mean, 0.0)) AS std, top_weight, greatest(least(1 + (greatest(p_up, 1e-10) * ln(greatest(p_up, 1e-10)) + greatest(p_down, 1e-10) * ln(greatest(p_down, 1e-10))
- + greatest(greatest(least(1 - p_up - p_down, 1.0), 0.0), 1e-10) * ln(greatest(greatest(least(1 - p_up - p_down, 1.0), 0.0), 1e-10))) / ln(3), 1.0), 0.0) AS confidence FROM mx)"""
+ wm AS (SELECT *, sum(w * mean) OVER (PARTITION BY asset, open_time) AS mm FROM wt),
+ fu AS (SELECT asset, open_time, greatest(least(sum(w * p_up), 1.0), 0.0) AS p_up, greatest(least(sum(w * p_down), 1.0), 0.0) AS p_down, any_value(mm) AS mean,
+ greatest(sqrt(sum(w * (std * std + (mean - mm) * (mean - mm)))), 1e-10) AS std, max(w) AS top_weight, greatest(least(sum(w * (""" + _ENTROPY + """)), 1.0), 0.0) AS confidence FROM wm GROUP BY 1, 2)"""
 
 
 def _fused(spark, sf_dir):
-    return signals.fuse(_frequency(spark, sf_dir).unionByName(_orderbook(spark, sf_dir)))
+    every = _frequency(spark, sf_dir).unionByName(_orderbook(spark, sf_dir)).unionByName(signals.kalman_signal(_posterior(spark, sf_dir)))
+    return signals.fuse(every)
+
+
+@query(FSIG + KSIG + " SELECT asset, open_time, 'dual_kalman' AS source, round(p_up, 4) AS p_up, round(p_down, 4) AS p_down, round(mean, 4) + 0.0 AS mean, round(std, 4) AS std, round(le, 4) + 0.0 AS log_evidence FROM ks", 4)
+def kalman_signal(spark, sf_dir):
+    return signals.kalman_signal(_posterior(spark, sf_dir))
 
 
 @query(FUSED + """ SELECT asset, open_time, round(p_up, 4) AS p_up, round(p_down, 4) AS p_down, round(mean, 4) + 0.0 AS mean, round(top_weight, 4) AS top_weight, round(std, 4) AS std, round(confidence, 4) AS confidence FROM fu""", 4)
@@ -272,12 +307,12 @@ def fusion_mixture(spark, sf_dir):
 
 
 CANDS = FUSED + """, kl AS (SELECT fu.*, bars.close, greatest(least(0.5 * mean / (std * std + mean * mean) - 0.001 * (CASE WHEN mean < 0 THEN -1 ELSE 1 END) * 5.0 * 1e-4, 0.3), -0.3) AS f FROM fu JOIN bars USING (asset, open_time)),
- cd AS (SELECT *, f * mean - 0.5 * f * f * (std * std + mean * mean) AS elg, abs(f) * 5.0 AS cost_bps FROM kl), ok AS (SELECT * FROM cd WHERE confidence >= 0.1 AND abs(p_up - p_down) >= 0.05 AND abs(f) >= 1e-4 AND elg >= 0.0)"""
+ cd AS (SELECT *, f * mean - 0.5 * f * f * (std * std + mean * mean) AS elg, abs(f) * 5.0 AS cost_bps FROM kl), ok AS (SELECT * FROM cd WHERE confidence > 0.55 AND abs(p_up - p_down) >= 0.05 AND abs(f) >= 1e-4 AND elg >= 0.0)"""
 
 
 def _candidates(spark, sf_dir):
     dists = _fused(spark, sf_dir).join(_bars(spark, sf_dir).select("asset", "open_time", "close"), ["asset", "open_time"])
-    return signals.candidates(signals.kelly(dists.withColumns({"tc_bps": F.lit(5.0), "current": F.lit(0.0)})), least_confidence=0.1)
+    return signals.candidates(signals.kelly(dists.withColumns({"tc_bps": F.lit(5.0), "current": F.lit(0.0)})))
 
 
 @query(CANDS + " SELECT asset, open_time, round(f, 4) AS f, round(elg, 4) AS elg, round(cost_bps, 4) AS cost_bps FROM ok", 4)
@@ -309,7 +344,7 @@ def _dp_sql(horizon: int) -> str:
     growth = "{f} * mean - 0.5 * {f} * {f} * sec"
     single = "greatest(least(raw - 0.001 * (CASE WHEN raw - {f} < 0 THEN -1 ELSE 1 END) * 5.0 * 1e-4, 0.3), -0.3)"
     held = single.format(f="f")
-    out = FUSED + f""", g0 AS (SELECT *, std * std + mean * mean AS sec, list_transform(range(41), lambda i: -0.3 + 0.6 * i / 40) AS grid FROM fu WHERE confidence > 0.1 AND abs(p_up - p_down) >= 0.05),
+    out = FUSED + f""", g0 AS (SELECT *, std * std + mean * mean AS sec, list_transform(range(41), lambda i: -0.3 + 0.6 * i / 40) AS grid FROM fu WHERE confidence > 0.55 AND abs(p_up - p_down) >= 0.05),
  g1 AS (SELECT *, CASE WHEN sec > 1e-15 THEN 0.5 * mean / sec ELSE 0.0 END AS raw FROM g0),
  h1 AS (SELECT *, list_transform(grid, lambda f: {growth.format(f=held)} - 0.001 * abs({held} - f)) AS v FROM g1)"""
     gain = "list_transform(grid, lambda h, j: " + growth.format(f="h") + " - 0.001 * abs(h - {now}) + v[j])"
@@ -326,7 +361,7 @@ def _dp_sql(horizon: int) -> str:
 @query(_dp_sql(3), 4)
 def dp_sizing(spark, sf_dir):
     """Decisions over three periods from a flat book."""
-    got = sizing.dp_decisions(_fused(spark, sf_dir).withColumn("current", F.lit(0.0)), 3, 10_000.0, least_confidence=0.1)
+    got = sizing.dp_decisions(_fused(spark, sf_dir).withColumn("current", F.lit(0.0)), 3, 10_000.0)
     return got.drop("confidence", "regime")
 
 
@@ -395,7 +430,8 @@ def execution_metrics(spark, sf_dir):
     return signals.execution(s).select("asset", "open_time", "cost", "fill", "reason")
 
 
-@query()
+@query(BARS + f""", p AS (SELECT asset, open_time, close AS price, lag(close) OVER ({_T}) AS entry, lag(open_time) OVER ({_T}) AS opened, num_trades % 2 = 0 AS up FROM bars)
+ SELECT asset, open_time, CASE WHEN greatest(open_time - opened, 0) > 7200000 THEN 'time_stop' WHEN (CASE WHEN up THEN 1 ELSE -1 END) * (price - entry) / entry < -0.05 THEN 'vol_stop' END AS close_reason FROM p WHERE entry IS NOT NULL""")
 def position_stops(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -404,12 +440,16 @@ def position_stops(spark, sf_dir):
     return signals.position_stop(rows, most_ms=2 * market.HOUR).select("asset", "open_time", "close_reason")
 
 
-@query()
+@query(BARS.replace("WITH bars", "WITH RECURSIVE bars", 1) + """, bn AS (SELECT asset, open_time, close AS z, row_number() OVER (PARTITION BY asset ORDER BY open_time) AS n FROM bars),
+ kf AS (SELECT asset, CAST(0 AS BIGINT) AS open_time, CAST(0 AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS x0, CAST(0.0 AS DOUBLE) AS x1, CAST(1.0 AS DOUBLE) AS a, CAST(0.0 AS DOUBLE) AS b, CAST(1.0 AS DOUBLE) AS c FROM bn WHERE n = 1
+ UNION ALL SELECT asset, open_time, n, px + k0 * (z - px), x1 + k1 * (z - px), (1 - k0) * pa, (1 - k0) * pb, pc - k1 * pb
+ FROM (SELECT *, pa / (pa + 1e-3) AS k0, pb / (pa + 1e-3) AS k1 FROM (SELECT kf.asset, bn.open_time, bn.n, bn.z, x0 + x1 AS px, x1, a + 2 * b + c + 1e-4 AS pa, b + c AS pb, c + 1e-7 AS pc FROM kf JOIN bn ON kf.asset = bn.asset AND bn.n = kf.n + 1)))
+ SELECT asset, open_time, round(x0, 4) AS level, round(x1, 4) + 0.0 AS velocity FROM kf WHERE n > 0""", 4)
 def linear_kalman(spark, sf_dir):
     return scans.linear_kalman(_bars(spark, sf_dir))
 
 
-@query()
+@query(FSIG + " SELECT asset, open_time, round(level, 4) AS level, round(velocity, 4) + 0.0 AS velocity, round(drift, 4) + 0.0 AS drift, round(kappa, 4) AS kappa, round(log_predictive, 4) + 0.0 AS log_predictive, round(level_variance, 4) AS level_variance FROM kp", 4)
 def dual_kalman(spark, sf_dir):
     return scans.dual_kalman(_bars(spark, sf_dir))
 
