@@ -192,7 +192,9 @@ def links(rows: DataFrame, own: DataFrame) -> DataFrame:
     stars = ranked.join(middle, "bucket").where((F.col("node") != F.col("a")) & _sizes_fit("n", "an")).select("a", F.col("node").alias("b"))
     tried = materialize(stars.unionByName(_by_fingerprint(nodes)).distinct(), "tried")
     remove(ranked)
-    first = _verified(tried, rows)
+    kept = materialize(_bounded(tried, nodes), "kept")
+    first = _verified(kept, rows)
+    remove(kept)
     roots = components(first)
     part = each.join(roots, each["node"] == roots["u"], "left").select("bucket", "size", "node", F.coalesce("root", "node").alias("root"))
     part = materialize(part, "part")
@@ -205,6 +207,24 @@ def links(rows: DataFrame, own: DataFrame) -> DataFrame:
     return out
 
 
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that their sizes and the counts of their classes don't rule out."""
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("classes").alias(f"c{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+
+    def compare(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                na, nb = (part.column(j).to_numpy() for j in (2, 3))
+                ca, cb = (np.frombuffer(b"".join(part.column(j).to_pylist()), "<u4").reshape(-1, CLASSES) for j in (4, 5))
+                ok = 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
+                ok &= 9 * np.minimum(ca, cb).sum(axis=1, dtype=np.int64) >= 4 * (na + nb)
+                yield pa.RecordBatch.from_arrays([part.column(j).filter(pa.array(ok)) for j in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(trimmed(compare), "a long, b long")
+
+
 def may_be_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Which sets of a could be alike to which of b, by their sizes and the counts of their classes."""
     ok = 5 * np.minimum(na[:, None], nb) >= 4 * np.maximum(na[:, None], nb)
