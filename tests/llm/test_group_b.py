@@ -243,6 +243,26 @@ def test_media(spark):
     assert M.media_digest(df.limit(0)).collect() == [] and M.clip_rows(files.limit(0)).collect() == []
 
 
+def test_bad_media_has_no_clips(spark):
+    from tidemark.llm import media as M
+
+    good = M.store(b"a" * 5000)
+    blobs = [b"", b"x", b"RIFF", good[:100], good[:400], good.replace(b"\xff\xda", b"\xff\x00"), None, good]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "doc_id long, media binary")
+    assert {r.doc_id for r in M.clip_rows(df).collect()} == {7}
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    from tidemark.llm import quality as Q
+
+    docs = spark.createDataFrame([(i % 2, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda f, off, grade: seen.append(len(grade)))
+    Q.train(docs, labels, sample=2)
+    assert seen == [2]
+
+
 def test_general_jpeg_decoder_agrees():
     from tidemark.llm import media as M
 

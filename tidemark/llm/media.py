@@ -287,15 +287,18 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """doc_id, clip, first_frame, last_frame, start_s, end_s, mean_level: a row for each shot of
-    each AVI file; null media has none."""
+    each AVI file; null, empty and malformed media have none."""
 
     def scan(batches):
         for batch in batches:
             at, cols = [], ([], [], [], [], [], [])
             for i, avi in enumerate(batch.column(1)):
                 if avi.is_valid:
-                    frames, rate, _ = read_avi(avi.as_py())
-                    levels = [decode_frame(f) for f in frames]
+                    try:
+                        frames, rate, _ = read_avi(avi.as_py())
+                        levels = [decode_frame(f) for f in frames]
+                    except (ValueError, IndexError, KeyError, struct.error, UnboundLocalError):
+                        continue
                     for n, (a, b) in enumerate(clips(levels)):
                         at.append(i)
                         mean = float(np.mean([x.mean() for x in levels[a : b + 1]]))

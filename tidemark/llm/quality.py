@@ -8,7 +8,8 @@ descent over at most SAMPLE labelled documents, those with the smallest hashes o
 weights are one array of 2 ** BITS floats. Every document is then scored where it lies, without
 a shuffle, so no key or copy can be hot.
 
-Null text counts as empty. Labels with nulls are not used. Rows that repeat are scored alike.
+Null text counts as empty. Labels with nulls are not used; of labelled rows that share an id, the
+smallest text is fitted on. Rows that repeat, and ties, are scored alike; very long texts whole.
 Without labels of two grades every row has expected grade 2 and is kept."""
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     # at most sample rows of two numbers
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(some), "doc_id").select("grade", "text")
+    # one text for each id: an id may be there in any number of rows
+    rows = text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def scan(batches):
         for batch in batches:
