@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clamp, entropy_confidence, logistic, normal_cdf, regime, risk_reward, safe_div, sign_up
 from tidemark.operators.windows import ema
+from tidemark.settings import RiskLimits, Settings
 
 
 def frequency_signal(features: DataFrame) -> DataFrame:
@@ -120,21 +121,29 @@ def first_reason(gates: list[tuple]) -> Column:
     return reduce(lambda c, g: c.when(g[0], g[1]), gates[1:], F.when(gates[0][0], gates[0][1]))
 
 
-def risk_gates(df: DataFrame) -> DataFrame:
+def risk_gates(df: DataFrame, limits: RiskLimits | None = None) -> DataFrame:
     """Seven gates in order; reject_reason is the first that fails. df has the signal and portfolio
-    columns named below."""
+    columns named below; limits default to the fixed ones."""
+    own = limits or RiskLimits()
     c = F.col
     nav = F.greatest(c("nav"), F.lit(1.0))
     gates = [
-        (c("drawdown") > 0.08, "drawdown"), ((c("gross") + c("size") * c("leverage")) / nav > 3.0, "leverage"), ((c("size") + c("held")) / nav > 0.30, "concentration"),
-        (c("corr") > 0.75, "correlation"), (risk_reward(c("entry"), c("stop"), c("target")) < 1.5, "risk_reward"), (c("n_open") >= 5, "positions"), (c("confidence") < 0.60, "confidence"),
+        (c("drawdown") > own.max_daily_drawdown, "drawdown"), ((c("gross") + c("size") * c("leverage")) / nav > own.max_gross_exposure, "leverage"),
+        ((c("size") + c("held")) / nav > own.max_single_asset_weight, "concentration"), (c("corr") > own.max_pairwise_correlation, "correlation"),
+        (risk_reward(c("entry"), c("stop"), c("target")) < own.min_risk_reward, "risk_reward"), (c("n_open") >= own.max_concurrent_positions, "positions"),
+        (c("confidence") < own.min_signal_confidence, "confidence"),
     ]
     return df.withColumn("reject_reason", first_reason(gates))
 
 
-def kill_switch(df: DataFrame) -> DataFrame:
-    c = F.col
-    gates = [(c("drawdown") > 0.20, "close_all"), (c("gross_leverage") > 4.5, "close_all"), (c("vol") > 0.045, "reduce_all"), (c("log_predictive") < -10, "reduce_all"), (c("drawdown") > 0.08, "halt"), (c("gross_leverage") > 3.0, "halt")]
+def kill_switch(df: DataFrame, limits: RiskLimits | None = None) -> DataFrame:
+    """action by the first rule that holds, or null, from drawdown, gross_leverage, vol, log_predictive."""
+    c, own = F.col, limits or RiskLimits()
+    gates = [
+        (c("drawdown") > own.max_portfolio_drawdown, "close_all"), (c("gross_leverage") > own.max_gross_exposure * 1.5, "close_all"),
+        (c("vol") > own.target_daily_vol * own.vol_kill_multiplier, "reduce_all"), (c("log_predictive") < own.min_log_predictive, "reduce_all"),
+        (c("drawdown") > own.max_daily_drawdown, "halt"), (c("gross_leverage") > own.max_gross_exposure, "halt"),
+    ]
     return df.withColumn("action", first_reason(gates))
 
 
@@ -144,9 +153,10 @@ def position_stop(df: DataFrame, most_ms: int = 86_400_000, adverse: float = 0.0
     return df.withColumn("close_reason", F.when(late, "time_stop").when(moved < -adverse, "vol_stop"))
 
 
-def execution(df: DataFrame, max_age_ms: int = 5000, eta: float = 0.1, kappa: float = 0.3) -> DataFrame:
+def execution(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Costs, fill probability and whether a signal is worth sending."""
-    c = F.col
+    c, own = F.col, settings or Settings()
+    max_age_ms, eta, kappa = own.max_signal_age_ms, own.impact_eta, own.impact_kappa
     stale = F.greatest(c("now_ms") - c("made_ms"), F.lit(0)) > max_age_ms
     size = c("size") * c("leverage")
     q = size / F.greatest(c("adv"), F.lit(1.0))

@@ -573,3 +573,6 @@ def top_customers(spark, sf_dir):
     (c,) = _tables(spark, sf_dir, "customer")
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
     return c.select("c_nationkey", "c_custkey", "c_acctbal", place.alias("place")).where("place <= 3")
+
+
+from tidemark.plans import assembly  # noqa: E402, F401  registers its queries here
