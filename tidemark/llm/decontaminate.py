@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import superkmer as S
-from tidemark.llm.common import LOWER, row_blocks, text_buffer, trimmed, word_array, word_spans
+from tidemark.llm.common import LOWER, mix, row_blocks, text_buffer, trimmed, word_array, word_spans
 from tidemark.llm.simhash import bit_counts, majority
 
 SHINGLE, LEAST, BLOCK_BYTES, ITEM_BYTES = 5, 0.8, 2 << 20, 16 << 20
@@ -38,7 +38,7 @@ def _hashes(data: np.ndarray, off: np.ndarray):
     tokens = one[coded.indices.to_numpy()] if len(start) else one
     up, down = S.powers(len(tokens) + 1)
     total = S.prefix(tokens, up[: len(tokens)])
-    return first, lambda size: S.rolling(total, size, down)
+    return first, lambda size: mix(S.rolling(total, size, down))
 
 
 def simhash(h: np.ndarray) -> int:

@@ -7,8 +7,6 @@ of the corpus reaches exactly one bucket, and all copies of a window reach the s
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,24 +26,28 @@ SAMPLE_BYTES, LEAST_SEEN, MOST_HOT = 16 << 20, 16, 1 << 20
 MOST_PARTITIONS = 20_000
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: Powers of the base and of its inverse, as many as were needed so far.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, int(n).bit_length())
+        for i, base in enumerate((_BASE, _INVERSE)):
+            table = np.full(size, base)
+            table[0] = 1
+            _POWERS[i] = np.cumprod(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def rolling(total: np.ndarray, width: int, down: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of width tokens, from prefix sums of hash times power."""
+    """Hashes of all runs of width tokens, from prefix sums of hash times power; equal for equal
+    runs, and not mixed."""
     if len(total) <= width:
         return np.zeros(0, np.uint64)
-    return mix((total[width:] - total[:-width]) * down[: len(total) - width])
+    got = total[width:] - total[:-width]
+    got *= down[: len(total) - width]
+    return got
 
 
 def prefix(tokens: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -71,16 +73,11 @@ def windows(tokens: np.ndarray, off: np.ndarray, k: int, m: int | None) -> tuple
     up, down = powers(n)
     total = prefix(tokens, up)
     whole = rolling(total, k, down)
-    inside = np.zeros(n - k + 1, bool)
-    # a window is inside a row unless a row begins within its last k - 1 tokens
-    lengths = np.diff(off)
-    d = np.zeros(n + 2, np.int32)
-    long = lengths >= k
-    np.add.at(d, off[:-1][long], 1)
-    np.add.at(d, off[1:][long] - k + 1, -1)
-    inside = np.cumsum(d[: n - k + 1]) > 0
-    at = np.flatnonzero(inside)
-    least = slide_min(rolling(total, m, down), k - m + 1)[at] if m is not None else None
+    # the first of each row's windows, and how many it has
+    count = np.maximum(np.diff(off) - k + 1, 0)
+    at = np.arange(count.sum()) + np.repeat(off[:-1] - np.cumsum(count) + count, count)
+    # minimisers are the least by mixed hash, lest some tokens always win
+    least = slide_min(mix(rolling(total, m, down)), k - m + 1)[at] if m is not None else None
     return at, whole[at], least
 
 
@@ -352,7 +349,7 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     d = np.zeros(n + 1, np.int32)
     np.add.at(d, lo, 1)
     np.add.at(d, hi, -1)
-    return np.cumsum(d[:n]) > 0
+    return np.cumsum(d[:n], dtype=np.int32) > 0
 
 
 def row_ranges(cover: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
