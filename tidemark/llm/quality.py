@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, row_blocks, text_buffer, trimmed, word_array, word_spans
+from tidemark.llm.common import LOWER, give_back, row_blocks, text_buffer, trimmed, word_array, word_spans
 
 SAMPLE, BITS, GRADES, PREFIX, BLOCK_BYTES, SCREEN = 8000, 18, 3, 4, 2 << 20, 6.0
 _MASK = (1 << BITS) - 1
@@ -77,7 +77,7 @@ def fit(f: np.ndarray, off: np.ndarray, grade: np.ndarray, rounds: int = 400, ra
     at least eight rows have it and, at some cut of the grades, its share above and below differs
     by SCREEN standard errors: rare words would only learn noise."""
     df = np.bincount(f, minlength=1 << BITS)
-    row_grade = np.repeat(grade, np.diff(off))
+    row_grade = np.repeat(grade.astype(np.int8), np.diff(off))
     chosen = np.zeros(1 << BITS, bool)
     for k in range(1, GRADES):
         up = int((grade >= k).sum())
@@ -89,9 +89,14 @@ def fit(f: np.ndarray, off: np.ndarray, grade: np.ndarray, rounds: int = 400, ra
     chosen &= df >= 8
     chosen[np.ravel(_SHAPE)] = True
     ok = chosen[f]
-    kept = np.concatenate(([0], np.cumsum(ok)))
-    f, off = f[ok], kept[off]
-    used, f = np.unique(f, return_inverse=True)
+    del row_grade
+    kept = np.array([np.count_nonzero(ok[a:b]) for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)], np.int64)
+    f, off = f[ok], np.concatenate(([0], np.cumsum(kept)))
+    del ok
+    used = np.flatnonzero(chosen & (df > 0))
+    number = np.zeros(1 << BITS, np.int64)
+    number[used] = np.arange(len(used))
+    f = number[f]
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     share = np.bincount(grade, minlength=GRADES).cumsum()[:-1] / len(grade)
     cut = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
@@ -136,10 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     got = rows.mapInArrow(trimmed(scan), "grade int, f array<int>").toArrow()
     if got.num_rows == 0 or len(set(got["grade"].to_pylist())) < 2:
         return None
-    lists = got["f"].combine_chunks()
+    lists, grade = got["f"].combine_chunks(), got["grade"].to_numpy()
+    del got
     order = np.argsort([xxhash.xxh64_intdigest(x.values.to_numpy().tobytes()) for x in lists], kind="stable")
-    lists, grade = lists.take(pa.array(order)), got["grade"].to_numpy()[order].astype(np.int64)
-    return fit(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), grade)
+    lists, grade = lists.take(pa.array(order)), grade[order].astype(np.int64)
+    try:
+        return fit(lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), grade)
+    finally:
+        del lists
+        give_back(docs.sparkSession)
 
 
 def _scorer(model):
